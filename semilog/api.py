@@ -17,7 +17,7 @@ from semilog.lang import tree as t
 from semilog.lang.checker import Checked, check
 from semilog.lang.diagnostics import ProgramError
 from semilog.lang.reader import read
-from semilog.plans import distributed, local, worlds
+from semilog.plans import distributed, encoding, local, worlds
 from semilog.sources import files
 from semilog.sources import models as mdl
 
@@ -126,9 +126,28 @@ class Program:
         return run
 
     def frames(self, spark: SparkSession) -> dict[str, DataFrame]:
-        """Every predicate as a DataFrame (columns c0, c1, ..., and w for Trop, null for infinity)."""
+        """Every predicate as a DataFrame (columns c0, c1, ..., and w for Trop, null for infinity).
+
+        Without bound DataFrames a small program is run in this process, which spares a Spark job for each round; one
+        that grows beyond ``LOCAL_ROWS`` rows is run over DataFrames.
+        """
+        if not self.bound:
+            try:
+                return self.local_frames(spark, local.plain(self.checked, budget_rows=LOCAL_ROWS))
+            except local.TooLarge:
+                pass
         return self.run(spark).relations
 
+    def local_frames(self, spark: SparkSession, engine: local.Engine) -> dict[str, DataFrame]:
+        run = distributed.Run(spark, self.checked)
+        out = {}
+        for p, r in engine.db.items():
+            rows = [tuple(encoding.store(v, k) for v, k in zip(row, run.kinds[p])) or (0,) for row in r.rows]
+            if run.extra(p):
+                rows = [(*row, None if w == math.inf else w) for row, w in zip(rows, r.rows.values())]
+            out[p] = run.frame(p, rows)
+        return out
+
     def marginal_frame(self, spark: SparkSession, pred: str) -> DataFrame:
         """Tuples with ``p``, by capture for predicates with provenance and over all worlds otherwise."""
         mode = "proofs" if pred in self.checked.modes or len(self.checked.soft) > distributed.MAX_SOFT else "worlds"
