@@ -167,7 +167,7 @@ def synthetic(rows: int, seed: int) -> list[tuple[str, tuple[int, int, int], int
         elif kind == 2:
             s = card() if good else r.choice((num(16), num(13), " ".join(num(4) for _ in range(4)), num(12), f"{num(5)} {num(5)} {num(5)}"))
         elif kind == 3:
-            s = phone() if good else r.choice((num(8), num(10), num(14), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(1)}.{num(2)}.{num(5)}", f"{num(4)} {num(4)}", f"{num(3)}-{num(10)}"))
+            s = phone() if good else r.choice((num(8), num(10), num(14), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(1)}.{num(2)}.{num(5)}", f"{num(4)} {num(4)}", f"{num(3)}-{num(10)}", f"{num(3)}-{num(2)}-{num(4)}", f"{num(3)}-{num(2)}-{num(4)}"))
         elif kind == 4:
             s = iban(good)
         else:
@@ -175,7 +175,7 @@ def synthetic(rows: int, seed: int) -> list[tuple[str, tuple[int, int, int], int
         if good:
             hint = r.choice(cue[kind]) if not plain or kind in (3, 5) and r.random() < 0.8 else ""
         else:
-            hint = r.choice(wrong) if r.random() < 0.5 else ""
+            hint = r.choice([*wrong, *cue[5]] if kind == 3 else wrong) if r.random() < 0.5 else ""
         head = " ".join(word() for _ in range(r.randint(0, 6))) + (f" {hint} " if hint else " ")
         out.append((f"{head}{s} {' '.join(word() for _ in range(r.randint(0, 6)))}", (len(head), kind, len(head) + len(s)), int(good)))
     return out
