@@ -62,6 +62,8 @@ def convert(c: Column, have: str, want: str) -> Column:
         return c
     if want == TAG:
         return c.cast("string") if have == INT else quoted(c)
+    if have == TAG:  # values of other kinds can't be there, as a join with a column of this kind has shown
+        return c.try_cast("bigint") if want == INT else F.try_variant_get(F.try_parse_json(c), "$", "string")
     raise ValueError(f"a {have} column can't be read as {want}")
 
 
