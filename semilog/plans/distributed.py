@@ -382,22 +382,22 @@ class Run:
 
         return weigh(proof)
 
-    # --- strata
+    # --- layers
 
     def go(self) -> dict[str, DataFrame]:
         try:
-            for stratum in self.checked.strata:
-                self.stratum(stratum)
+            for layer in self.checked.layers:
+                self.layer(layer)
             return self.relations
         except PySparkException as e:
             raise told(e) from e
 
-    def stratum(self, stratum: list[str]) -> None:
-        own = [r for r in self.checked.rules if r.head.pred in stratum]
-        looping = [r for r in own if any(b.atom.pred in stratum for b in r.body)]
+    def layer(self, layer: list[str]) -> None:
+        own = [r for r in self.checked.rules if r.head.pred in layer]
+        looping = [r for r in own if any(b.atom.pred in layer for b in r.body)]
         used = {b.atom.pred for r in self.checked.rules for b in r.body}
         base = {}
-        for p in stratum:
+        for p in layer:
             parts = self.given(p) + [self.derived(r) for r in own if r.head.pred == p and r not in looping]
             derived = any(r.head.pred == p for r in own)
             base[p] = self.added(p, parts)
@@ -407,18 +407,18 @@ class Run:
         if not looping:
             return
         if self.mode == "proofs":
-            self.saturate(stratum, own, base)
+            self.saturate(layer, own, base)
             return
-        if (edge := self.closure_of(stratum, own)) is not None:
-            self.relations[stratum[0]] = closure(self.relations[edge], stratum[0])
+        if (edge := self.closure_of(layer, own)) is not None:
+            self.relations[layer[0]] = closure(self.relations[edge], layer[0])
             return
-        self.semi_naive(stratum, looping, base)
+        self.semi_naive(layer, looping, base)
 
-    def closure_of(self, stratum: list[str], rules: list[t.Rule]) -> str | None:
-        """The edge relation, if the stratum is the plain transitive closure of one."""
-        if len(stratum) != 1 or len(rules) != 2 or self.arity[stratum[0]] != 2 or self.extra(stratum[0]) or self.given(stratum[0]):
+    def closure_of(self, layer: list[str], rules: list[t.Rule]) -> str | None:
+        """The edge relation, if the layer is the plain transitive closure of one."""
+        if len(layer) != 1 or len(rules) != 2 or self.arity[layer[0]] != 2 or self.extra(layer[0]) or self.given(layer[0]):
             return None
-        p = stratum[0]
+        p = layer[0]
         shapes = {(r.head.args, tuple((b.atom.pred == p, b.atom.args, b.negated) for b in r.body)): r for r in rules}
         base = next((r for r in rules if len(r.body) == 1), None)
         step = next((r for r in rules if len(r.body) == 2), None)
@@ -437,12 +437,12 @@ class Run:
             return None
         return edge.atom.pred if self.kinds[edge.atom.pred] == self.kinds[p] else None
 
-    def semi_naive(self, stratum: list[str], rules: list[t.Rule], base: dict[str, DataFrame]) -> None:
-        parts = {p: [base[p]] for p in stratum}
+    def semi_naive(self, layer: list[str], rules: list[t.Rule], base: dict[str, DataFrame]) -> None:
+        parts = {p: [base[p]] for p in layer}
         delta, rounds, cap = dict(base), 1, None
         capped = self.trop and any(self.checked.kind(r.head.pred) == "trop" for r in rules)
         while True:
-            made: dict[str, list[DataFrame]] = {p: [] for p in stratum}
+            made: dict[str, list[DataFrame]] = {p: [] for p in layer}
             for r in rules:
                 for i, b in enumerate(r.body):
                     if not b.negated and b.atom.pred in delta:
@@ -467,7 +467,7 @@ class Run:
                 cap = cap or self.universe() + 2
                 if rounds > cap:
                     raise NegativeWeightCycle("weights still fall after more rounds than there are values")
-        for p in stratum:
+        for p in layer:
             if self.extra(p) == ["w"] and len(parts[p]) > 1:  # rounds that lowered a weight left the old one
                 self.relations[p] = written(self.added(p, [self.relations[p]]), p)
 
@@ -489,18 +489,18 @@ class Run:
                 parts += [df.select(en.convert(F.col(f"c{i}"), k, en.TAG).alias("v")) for i, k in enumerate(self.kinds[p])]
         return functools.reduce(DataFrame.union, parts).distinct().count() if parts else 0
 
-    def saturate(self, stratum: list[str], rules: list[t.Rule], base: dict[str, DataFrame]) -> None:
+    def saturate(self, layer: list[str], rules: list[t.Rule], base: dict[str, DataFrame]) -> None:
         """Proofs through recursion: all rules over the pruned state, until no tuple's proofs change."""
         while True:
             state = {}
-            for p in stratum:
+            for p in layer:
                 parts = [self.relations[p]] + [self.derived(r) for r in rules if r.head.pred == p]
                 state[p] = written(self.added(p, parts), p)
                 if p in self.soft_preds:
                     most = state[p].groupBy(*self.keys(p)).count().agg(F.max("count")).first()[0] or 0
                     if most > self.budget:
                         raise ProofBudget(f"a tuple of `{p}` has {most} minimal proofs, the budget is {self.budget}; declare it Prov_k")
-            same = all(self.relations[p].join(state[p], state[p].columns, "left_anti").isEmpty() and state[p].join(self.relations[p], state[p].columns, "left_anti").isEmpty() for p in stratum)
+            same = all(self.relations[p].join(state[p], state[p].columns, "left_anti").isEmpty() and state[p].join(self.relations[p], state[p].columns, "left_anti").isEmpty() for p in layer)
             self.relations.update(state)
             if same:
                 return

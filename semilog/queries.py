@@ -110,7 +110,7 @@ for spec in (
     ("underscore_join", "pred q(int, int): Bool. q(C, S) :- cust_nation(C, _), nation_region(_, R), nation_region(_, R), supp_nation(S, _).", ("cust_nation", "nation_region", "supp_nation"), ("c", "s"), with_("cust_nation", "nation_region", "supp_nation") + "select distinct c, s from cust_nation join nation_region using (n) join supp_nation using (n)"),
     ("semi_join", "pred q(int): Bool. q(C) :- cust_nation(C, _N), placed(C, _O).", ("cust_nation", "placed"), ("c",), with_("cust_nation", "placed") + "select distinct c from cust_nation where c in (select c from placed)"),
     ("neg_anti", "pred ordered(int): Bool. pred q(int, int): Bool. ordered(C) :- placed(C, _O). q(C, N) :- cust_nation(C, N), not ordered(C).", ("cust_nation", "placed"), ("c", "n"), with_("cust_nation", "placed") + "select c, n from cust_nation where not exists (select 1 from placed where placed.c = cust_nation.c)"),
-    ("neg_two_strata", "pred inner_(int): Bool. pred leaf(int): Bool. pred q(int): Bool. inner_(X) :- parent(X, _Y). leaf(Y) :- parent(_X, Y), not inner_(Y). q(X) :- parent(X, _Y), not leaf(X).", ("parent",), ("x",), with_("parent") + "select distinct x from parent where x not in (select y from parent where y not in (select x from parent))"),
+    ("neg_two_layers", "pred inner_(int): Bool. pred leaf(int): Bool. pred q(int): Bool. inner_(X) :- parent(X, _Y). leaf(Y) :- parent(_X, Y), not inner_(Y). q(X) :- parent(X, _Y), not leaf(X).", ("parent",), ("x",), with_("parent") + "select distinct x from parent where x not in (select y from parent where y not in (select x from parent))"),
     ("neg_nullary", "pred any_size(): Bool. pred none(): Bool. pred q(int): Bool. any_size() :- part_size(_P, 99999). q(P) :- part_brand(P, _B), not any_size().", ("part_size", "part_brand"), ("p",), with_("part_size", "part_brand") + "select distinct p from part_brand where not exists (select 1 from part_size where z = 99999)"),
     ("union_rules", "pred q(int): Bool. q(N) :- cust_nation(_C, N). q(N) :- supp_nation(_S, N).", ("cust_nation", "supp_nation"), ("n",), with_("cust_nation", "supp_nation") + "select n from cust_nation union select n from supp_nation"),
     ("intersect_atoms", "pred q(int): Bool. q(X) :- edge(X, _V), edge(_U, X).", ("edge",), ("x",), with_("edge") + "select u as x from edge intersect select v from edge"),
@@ -265,16 +265,17 @@ def terms_decompose(spark, sf_dir):
     return found.select(F.variant_get(F.parse_json("c0"), "$", "string").alias("name"), F.col("c1").cast("bigint").alias("r"))
 
 
-@query("with pt as (select distinct l_suppkey as v, l_partkey as o from lineitem), fpt as (select distinct p.o, q.o as v from supplier join pt p on p.v = s_suppkey join pt q on q.v = s_nationkey + 1) select v, o from pt union select 1000000 + c_custkey, f.v from customer join pt p on p.v = c_nationkey + 1 join fpt f on f.o = p.o")
+@query("with own as (select c_custkey as v, cast(c_nationkey as bigint) as o from customer), fpt as (select distinct a.o, p.o as v from own a join own p on p.v = a.v // 2), x as (select s_suppkey as s, o from supplier join own on v = s_suppkey) select v, o from own union select 1000000 + s, o from x union select 3000000 + s, f.v from x join fpt f on f.o = x.o")
 def points_to(spark, sf_dir):
-    """Suppliers are variables that point at their parts; each stores the variable of its nation's number (plus 1) in
-    field 1 of those, and each customer (plus 1,000,000) loads that field through its nation's variable."""
+    """Customers point at their nation, store their parent customer in its field 1, and suppliers copy the customer of
+    their number (plus 1,000,000) and load its field (plus 3,000,000)."""
     at = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     one, long = F.lit(1).cast("bigint"), lambda c: F.col(c).cast("bigint")
-    addr = at("lineitem").select(long("l_suppkey"), long("l_partkey"))
-    store = at("supplier").select(long("s_suppkey"), one.alias("f"), long("s_nationkey") + 1)
-    load = at("customer").select((long("c_custkey") + 1_000_000).alias("p"), (long("c_nationkey") + 1).alias("q"), one.alias("f"))
-    return named(terms.points_to(addr, addr.where(F.lit(False)), store, load)["pt"], "v", "o")
+    addr = at("customer").select(long("c_custkey"), long("c_nationkey"))
+    copy = at("supplier").select((long("s_suppkey") + 1_000_000).alias("p"), long("s_suppkey"))
+    store = relation(spark, sf_dir, "parent").select("y", one.alias("f"), "x")
+    load = at("supplier").select((long("s_suppkey") + 3_000_000).alias("p"), long("s_suppkey"), one.alias("f"))
+    return named(terms.points_to(addr, copy, store, load)["pt"], "v", "o")
 
 
 @query(with_("part_brand") + "select b as value, cast(dense_rank() over (order by b) - 1 as bigint) as id from (select distinct b from part_brand)")

@@ -111,7 +111,7 @@ class Maintained:
     def bare(self) -> Checked:
         """The program without inline facts; the tables hold them."""
         c = self.checked
-        return Checked(c.decls, c.rules, [], [], c.queries, c.inputs, c.strata, c.recursive, c.terms)
+        return Checked(c.decls, c.rules, [], [], c.queries, c.inputs, c.layers, c.recursive, c.terms)
 
 
 def follow(maintained: Maintained, pred: str, stream: DataFrame, checkpoint: str, kind: str | None = None):

@@ -47,7 +47,7 @@ class MaintainedProofs:
         """Runs all rules over the present state until no proofs change."""
         for m in start:
             self.engine.merge(*m)
-        for stratum in self.checked.strata:
-            rules = [r for r in self.checked.rules if r.head.pred in stratum]
-            self.engine.naive(rules, set(stratum), 0)
+        for layer in self.checked.layers:
+            rules = [r for r in self.checked.rules if r.head.pred in layer]
+            self.engine.naive(rules, set(layer), 0)
         return None

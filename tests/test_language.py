@@ -118,10 +118,10 @@ def test_singleton_has_a_fix():
     assert "1:" in as_text(found, source) and json.loads(as_json(found))[0]["fix"]["replacement"] == "_Long"
 
 
-def test_strata_are_lowest_first():
+def test_layers_are_lowest_first():
     program, _ = read(D + "pred a(d): Bool. pred b(d): Bool. a(X) :- e(X, X). b(X) :- e(X, _Y), not a(X).")
-    strata = check(program).strata
-    at = {p: i for i, s in enumerate(strata) for p in s}
+    layers = check(program).layers
+    at = {p: i for i, s in enumerate(layers) for p in s}
     assert at["e"] < at["a"] < at["b"]
 
 

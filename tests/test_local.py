@@ -20,7 +20,7 @@ def test_closure_of_a_cycle():
 
 
 def random_program(r):
-    """2-3 binary predicates, a few constants, rules of one to three atoms, Bool or Trop, at times a negated stratum."""
+    """2-3 binary predicates, a few constants, rules of one to three atoms, Bool or Trop, at times a negated layer."""
     trop = r.random() < 0.4
     kind = "Trop" if trop else "Bool"
     preds, consts, variables = ["p", "q", "r"][: r.randint(2, 3)], "abcd"[: r.randint(2, 4)], ["X", "Y", "Z"]
