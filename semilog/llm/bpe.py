@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from semilog.llm.common import texts_of, tokenizer_file, with_arrow
 
 #: Chunks whose ids are remembered in a Python worker, and the longest chunk that is.
-CACHE_CHUNKS, CACHE_CHARS = 600_000, 64
+CACHE_CHUNKS, CACHE_CHARS = 200_000, 64
 #: Python's split() also splits at these four; the tokenizer's white space doesn't have them.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 UNICODE_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semilog.llm.common import SLICE_ROWS
+from semilog.llm.common import SLICE_ROWS, slices
 
 HEAD, MIDDLE, TAIL = "<|turn|>", "<|text|>", "</turn|>\n"
 #: Control strings that a text may not have as they are.
@@ -84,8 +84,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, place, at = object(), 0, 0
         for whole in batches:
-            for first in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(first, SLICE_ROWS)
+            for batch in slices(whole):
                 ids = batch.column(0).to_pylist()
                 roles = batch.column(2).to_pylist()
                 made, text_start, text_end, size = assemble(roles, batch.column(3).to_pylist())

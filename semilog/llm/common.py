@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows that a Python stage turns into one output batch; input batches are bounded by Spark in bytes.
-SLICE_ROWS = 2048
+#: Rows and bytes that a Python stage works on at once; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,14 +76,29 @@ def with_arrow(df: DataFrame, inputs: list[str], fields: list[T.StructField], ma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(start, SLICE_ROWS)
+            for batch in slices(whole):
                 made = make(*[batch.column(i) for i in in_at])
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep_at] + made, names=out_names)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows that are bounded in rows and bytes."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(size.tolist()):
+        if i > start and (i - start >= SLICE_ROWS or held + n > SLICE_BYTES):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null counts as the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -39,7 +39,7 @@ SHINGLE, SIMILARITY, RADIUS, BLOCKS, SEED = 5, 0.8, 15, 4, 42
 PART_CHARS = 8_000_000
 WORD = re.compile(r"\w+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 MATCH = "item_id long, start_char long, end_char long, start_word long, n_words long, differing_bits int, similarity double"
 
 

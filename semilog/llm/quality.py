@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semilog.llm.boost import sigmoid
-from semilog.llm.common import SLICE_ROWS, texts_of, with_arrow
+from semilog.llm.common import slices, texts_of, with_arrow
 
 BUCKETS, WIDTH, NONZERO, REACH, BLOCK = 1 << 14, 64, 2, 2, 256
 SAMPLE, HIDDEN, EPOCHS, SEED = 20_000, 32, 40, 5
 SHAPES = 256
-CACHE_TOKENS = 600_000
+CACHE_TOKENS = 200_000
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -91,11 +91,13 @@ def contexts(texts: list[str]) -> np.ndarray:
     for d in range(1, REACH + 1):
         same = np.flatnonzero(doc[d:] == doc[:-d])
         for a, b in ((same, same + d), (same + d, same)):
+            at, sign = [], []
             for mine, theirs in ((letters, letters), (letters, shape), (shape, shape)):
                 row, seen = mine[a] * WIDTH, theirs[b]
                 for j in range(NONZERO):
-                    at, sign = row + places[seen, j], signs[seen, j]
-                    out += np.bincount(at, sign, BUCKETS * WIDTH).astype(np.int64)
+                    at.append(row + places[seen, j])
+                    sign.append(signs[seen, j])
+            out += np.bincount(np.concatenate(at), np.concatenate(sign), BUCKETS * WIDTH).astype(np.int64)
     n = np.bincount(letters, minlength=BUCKETS) + np.bincount(shape, minlength=BUCKETS)
     return np.concatenate([out.reshape(BUCKETS, WIDTH), n[:, None]], 1)
 
@@ -108,9 +110,8 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            for at in range(0, len(texts), SLICE_ROWS):
-                part = contexts(texts[at : at + SLICE_ROWS])
+            for run in slices(batch):
+                part = contexts(texts_of(run.column(0)))
                 total = part if total is None else total + part
         if total is not None:
             yield pack(total)
