@@ -115,3 +115,13 @@ def test_exit_codes(tmp_path, capsys):
     code, out, _ = run(capsys, "ir", str(f), "--to", "json")
     (tmp_path / "p.json").write_text(out)
     assert run(capsys, "ir", str(tmp_path / "p.json"), "--to", "surface")[1] == "domain d.\n"
+
+
+def test_intermediates_can_be_deleted(spark):
+    from semilog import storage
+
+    df = storage.written(spark.range(5), "numbers")
+    assert df.count() == 5
+    storage.clear(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        storage.written(spark.range(1), "again").union(df).collect()
