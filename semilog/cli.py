@@ -79,15 +79,16 @@ def run(path: str, semi_naive: bool) -> str:
     checked = check(program, source)
     files.load_inputs(checked, os.path.dirname(path) or ".")
     kinds = {q.kind for q in checked.queries}
-    if "grad" in kinds or "prob" in kinds:  # both, if a program asks both
-        return "".join(asked(checked, k) for k in ("prob", "grad") if k in kinds)
+    if not kinds & {"grad", "prob"} and not checked.modes and not checked.soft:
+        return text.relations(checked, local.plain(checked, semi_naive and not checked.terms))
+    deep = text.status(checked, local.proofs(checked)) if checked.terms else ""
+    if kinds & {"grad", "prob"}:  # both, if a program asks both
+        return "".join(asked(checked, k) for k in ("prob", "grad") if k in kinds) + deep
     if checked.modes:
         worlds.guard(checked, False)
-        return text.pedigrees(checked, local.proofs(checked))
-    if checked.soft:
-        order, found = text.InternOrder(checked), worlds.marginals(checked)
-        return "".join(text.marginal(checked, p, row, found[p][row][0]) for p in sorted(found) for row in order.rows(found[p]) if found[p][row][0] > 0)
-    return text.relations(checked, local.plain(checked, semi_naive and not checked.terms))
+        return text.pedigrees(checked, local.proofs(checked)) + deep
+    order, found = text.InternOrder(checked), worlds.marginals(checked)
+    return "".join(text.marginal(checked, p, row, found[p][row][0]) for p in sorted(found) for row in order.rows(found[p]) if found[p][row][0] > 0) + deep
 
 
 def main(argv: list[str] | None = None) -> int:

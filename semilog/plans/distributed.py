@@ -396,6 +396,9 @@ class Run:
         own = [r for r in self.checked.rules if r.head.pred in layer]
         looping = [r for r in own if any(b.atom.pred in layer for b in r.body)]
         used = {b.atom.pred for r in self.checked.rules for b in r.body}
+        if (edge := self.closure_of(layer, own)) is not None and self.mode == "plain":
+            self.relations[layer[0]] = closure(self.relations[edge], layer[0])
+            return
         base = {}
         for p in layer:
             parts = self.given(p) + [self.derived(r) for r in own if r.head.pred == p and r not in looping]
@@ -409,9 +412,6 @@ class Run:
         if self.mode == "proofs":
             self.saturate(layer, own, base)
             return
-        if (edge := self.closure_of(layer, own)) is not None:
-            self.relations[layer[0]] = closure(self.relations[edge], layer[0])
-            return
         self.semi_naive(layer, looping, base)
 
     def closure_of(self, layer: list[str], rules: list[t.Rule]) -> str | None:

@@ -71,9 +71,12 @@ def relations(checked: Checked, engine: Engine) -> str:
                 continue
             w = engine.db[pred].rows[row]
             out.append(line(pred, row) + (f" = {'inf' if w == math.inf else w}" if checked.kind(pred) == "trop" else "") + "\n")
-    if engine.dropped:
-        out.append(f"% status: Sound (possibly incomplete) — {engine.dropped} derivation(s) dropped at depth bound {checked.max_depth}\n")
-    return "".join(out)
+    return "".join(out) + status(checked, engine)
+
+
+def status(checked: Checked, engine: Engine) -> str:
+    """Says that derivations were too deep, if some were."""
+    return f"% status: Sound (possibly incomplete) — {engine.dropped} derivation(s) dropped at depth bound {checked.max_depth}\n" if engine.dropped else ""
 
 
 def marginal(checked: Checked, pred: str, row: tuple, p: float) -> str:
