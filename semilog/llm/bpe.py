@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semilog.llm.common import texts_of, tokenizer_file, with_arrow
+from semilog.llm.common import remembered, texts_of, tokenizer_file, with_arrow
 
 #: Chunks whose ids are remembered in a Python worker, and the longest chunk that is.
 CACHE_CHUNKS, CACHE_CHARS = 200_000, 64
@@ -88,7 +88,8 @@ class ForcedBoundaryBpe:
         self.tokens = [""] * max(self.size, *(i + 1 for i in self.added.values()), 0)
         for token, i in (vocab | self.added).items():
             self.tokens[i] = token
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = remembered(f"bpe {path}")
+        self.owner = f"bpe {path}"
 
     def merge(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids after all merges, and the index of the fragment that each belongs to. starts: where fragments begin."""
@@ -155,7 +156,7 @@ class ForcedBoundaryBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, packed as little-endian 32-bit integers."""
-        if len(self.cache) > CACHE_CHUNKS:
+        if len(remembered(self.owner)) > CACHE_CHUNKS:
             self.cache.clear()
         rows, new, long_ = [], set(), {}
         find = self.cache.get

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,40 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows and bytes that a Python stage works on at once; a longer text is a slice of its own.
-SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (as in tests on one machine) is a folder of our own made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="semilog-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from semilog.storage import scratch
+from semilog.storage import written as materialise
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/semilog/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    The lineage ends there, and the files outlive any executor.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows and bytes that a Python stage works on at once; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 1024, 2_000_000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -53,14 +24,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, with underscores in front until no column of ``df`` has that name."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = f"_{wanted}"
-    return wanted
-
-
 def with_arrow(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[..., list]) -> DataFrame:
     """``df`` and the columns that ``make`` computes from the columns ``inputs``, batch by batch.
 
@@ -79,10 +42,32 @@ def with_arrow(df: DataFrame, inputs: list[str], fields: list[T.StructField], ma
             for batch in slices(whole):
                 made = make(*[batch.column(i) for i in in_at])
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep_at] + made, names=out_names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+#: What a Python worker remembers from task to task, by operator; only the operator that runs keeps its own.
+REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(owner: str) -> dict:
+    """The cache of an operator; those of others are forgotten."""
+    for name, cache in REMEMBERED.items():
+        if name != owner:
+            cache.clear()
+    return REMEMBERED.setdefault(owner, {})
+
+
+def give_back() -> None:
+    """Returns memory that allocators hold but don't use, so idle workers stay small beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows that are bounded in rows and bytes."""
     size = np.zeros(batch.num_rows, np.int64)
@@ -104,6 +89,9 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+__all__ = ["exists", "give_back", "materialise", "remembered", "scratch", "slices", "texts_of", "tokenizer_file", "with_arrow"]
+
+
 def tokenizer_file(name: str) -> str:
     """A public vocabulary's place on the machine that asks; a path is returned as it is."""
     if "/" in name:

@@ -23,16 +23,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semilog.llm.boost import sigmoid
-from semilog.llm.common import slices, texts_of, with_arrow
+from semilog.llm.common import give_back, remembered, slices, texts_of, with_arrow
 
 BUCKETS, WIDTH, NONZERO, REACH, BLOCK = 1 << 14, 64, 2, 2, 256
 SAMPLE, HIDDEN, EPOCHS, SEED = 20_000, 32, 40, 5
 SHAPES = 256
+#: Tasks whose tables are summed in the first round.
+TOGETHER = 64
 CACHE_TOKENS = 200_000
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -48,25 +51,25 @@ def word_pair(token: str) -> int:
     return letters * SHAPES + (marks * 4 + case) * 4 + size
 
 
-class Tokens(dict):
-    """Token to word pair; forgets all when it has grown too large."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > CACHE_TOKENS:
-            self.clear()
-        pair = word_pair(token)
-        if len(token) <= 64:
-            self[token] = pair
-        return pair
-
-
-TOKENS = Tokens()
+def pairs_of(text: str, known: dict[str, int]) -> np.ndarray:
+    """The word pairs of a text's tokens; ``known`` remembers those of short tokens."""
+    tokens = text.split()
+    got = list(map(known.get, tokens))
+    if None in got:
+        if len(known) > CACHE_TOKENS:
+            known.clear()
+        for i, pair in enumerate(got):
+            if pair is None:
+                got[i] = word_pair(tokens[i])
+                if len(tokens[i]) <= 64:
+                    known[tokens[i]] = got[i]
+    return np.array(got, np.int64)
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters' bucket and shape of every token of all texts, and the number of tokens of each text."""
-    look = TOKENS.__getitem__
-    rows = [np.array([look(t) for t in text.split()], np.int64) for text in texts]
+    known = remembered("quality")
+    rows = [pairs_of(text, known) for text in texts]
     counts = np.array([len(r) for r in rows], np.int64)
     pairs = np.concatenate(rows) if rows else np.empty(0, np.int64)
     letters, shape = pairs // SHAPES, pairs % SHAPES
@@ -103,9 +106,16 @@ def contexts(texts: list[str]) -> np.ndarray:
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The table of word vectors from all texts: (BUCKETS, WIDTH), whatever the input's size."""
-    schema = "block int, body binary"
-    pack = lambda table: pa.RecordBatch.from_arrays([pa.array(range(BUCKETS // BLOCK), pa.int32()), pa.array([b.astype("<i8").tobytes() for b in table.reshape(-1, BLOCK, WIDTH + 1)], pa.binary())], names=["block", "body"])
+    """The table of word vectors from all texts: (BUCKETS, WIDTH), whatever the input's size.
+
+    Tables of ``TOGETHER`` tasks are summed for each block of buckets, and these sums again; every sum is a stream that
+    holds one table at most.
+    """
+    schema = "block int, part int, body binary"
+
+    def packed(tables: dict[int, np.ndarray], part: int) -> pa.RecordBatch:
+        bodies = pa.array([t.astype("<i8").tobytes() for t in tables.values()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([part] * len(tables), pa.int32()), bodies], names=["block", "part", "body"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -114,17 +124,20 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 part = contexts(texts_of(run.column(0)))
                 total = part if total is None else total + part
         if total is not None:
-            yield pack(total)
+            yield packed(dict(enumerate(total.reshape(-1, BLOCK, WIDTH + 1))), TaskContext.get().partitionId() // TOGETHER)
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 part = np.frombuffer(body, "<i8")
                 sums[block] = sums[block] + part if block in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], names=["block", "body"])
+        yield packed(sums, 0)
 
-    blocks = docs.select(text_col).mapInArrow(gather, schema).repartition(8, "block").mapInArrow(add, schema).collect()
+    tables = docs.select(text_col).mapInArrow(gather, schema)
+    sums = tables.repartition("block", "part").mapInArrow(add, schema)
+    blocks = sums.repartition(8, "block").mapInArrow(add, schema).select("block", "body").collect()
     table = np.zeros((BUCKETS // BLOCK, BLOCK, WIDTH + 1), np.int64)
     for block, body in blocks:
         table[block] += np.frombuffer(body, "<i8").reshape(BLOCK, WIDTH + 1)
