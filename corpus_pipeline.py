@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from semilog.llm import bpe, decontaminate, pii, quality, simhash
 from semilog.llm.common import materialise
 
+NEAR_BITS = 6
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -19,8 +21,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates stays, that with the smallest id.
+
+    Five-word shingles, linked up to ``NEAR_BITS`` bits: with fewer bits more copies with edits stay, with more bits
+    unlike texts of one language begin to be linked.
+    """
+    return simhash.keep_one(docs, radius=NEAR_BITS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def test_quality_keeps_good_documents(spark, stages):
 def test_one_of_each_group(stages):
     docs = frame(stages[1])
     fps = [brute_fingerprint(t, 5) for t in docs.text]
-    pairs = [(docs.doc_id[i], docs.doc_id[j]) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    pairs = [(docs.doc_id[i], docs.doc_id[j]) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= corpus_pipeline.NEAR_BITS]
     want = sorted({int(c) for c in component_labels(docs.doc_id.tolist(), pairs).values()})
     assert frame(stages[2]).doc_id.tolist() == want
 
