@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semilog.llm import bpe, decontaminate, pii, quality, simhash
+from semilog.llm import bpe, decontaminate, near, pii, quality
 from semilog.llm.common import materialise
 
 NEAR_BITS = 6
@@ -23,10 +23,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest id.
 
-    Five-word shingles, linked up to ``NEAR_BITS`` bits: with fewer bits more copies with edits stay, with more bits
-    unlike texts of one language begin to be linked.
+    Texts are near-duplicates from five-word similarity 0.8 on, however far apart their fingerprints are. Fingerprints
+    within ``NEAR_BITS`` bits are the first to be compared.
     """
-    return simhash.keep_one(docs, radius=NEAR_BITS)
+    return near.keep_one(docs, radius=NEAR_BITS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,17 +38,25 @@ CELL_ROWS, TILE_ROWS, TILE_COLUMNS = 65_536, 128, 2_048
 VOTES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of a whole text."""
+def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hash of each shingle of a text, in order; none for a text without words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, ">u8")
     body = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(body[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], ">u8")
+    return np.array([digest(body[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], ">u8")
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The 64-bit fingerprint of a whole text."""
+    return voted(shingle_hashes(text, shingle, seed))
+
+
+def voted(hashes: np.ndarray) -> int:
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), VOTES_AT_ONCE):
         part = hashes[at : at + VOTES_AT_ONCE]
