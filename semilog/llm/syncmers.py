@@ -1,10 +1,11 @@
 """Document fingerprints by closed syncmers, in DataFrame functions only.
 
-A text's units are its words (lower case, cut at white space), or its characters if it has fewer than ``FEW``
-words. Every run of ``S`` units has a hash. A run of ``K`` units is a closed syncmer if, of the ``S``-runs inside it,
+A text's units are its words (lower case, cut at white space); one with fewer than ``FEW`` words also has a second set
+of anchors over its characters. Two short texts are compared by characters, all others by words, which every text has,
+so likeness is told across the border too. Every run of ``S`` units has a hash. A run of ``K`` units is a closed syncmer if, of the ``S``-runs inside it,
 the smallest hash is the first or the last one: whether it is chosen depends on it alone and not on what stands
 around it, so equal passages keep equal anchors wherever they are. The fingerprint is the ``SKETCH`` smallest distinct
-32-bit hashes of the chosen runs in hex; likeness is the share of common ones among the smallest of both (an
+32-bit hashes of the chosen runs in hex, for short texts those of words, ``-`` and those of characters; likeness is the share of common ones among the smallest of both (an
 estimate of the Jaccard similarity that needs the two fingerprints alone).
 
 ``neighbours`` pairs each row with the next one by descending id without a global sort in one task: ids are cut at
@@ -12,7 +13,7 @@ quantiles into buckets, and the highest row of each bucket is also dealt, as a g
 row is followed by it. The highest row of all follows the last.
 
 Defined results: a null text is the empty text, whose fingerprint is empty and like only to itself; a text with
-fewer units than ``K`` has one anchor, the hash of them all; ties of ids are ordered by text, null ids come last;
+fewer units than ``K`` or none chosen has one anchor, the hash of them all; ties of ids are ordered by text, null ids come last;
 repeated rows have equal fingerprints; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -26,12 +27,16 @@ K, S, FEW, SKETCH = 5, 2, 24, 64
 BUCKET_ROWS, BUCKETS_EACH = 1000, 4
 
 
-def with_hashes(df: DataFrame, text: str, h: str, s: str) -> DataFrame:
-    """``df`` with the hashes ``h`` of the units of column ``text`` and ``s`` of its runs of ``S`` units."""
+def with_hashes(df: DataFrame, text: str, h: str, s: str, chars: bool = False) -> DataFrame:
+    """``df`` with the hashes ``h`` of the units of column ``text`` and ``s`` of its runs of ``S`` units.
+
+    Units are words, or with ``chars`` the characters of texts of fewer than ``FEW`` words (none for others).
+    """
     u = f"_{h}_u"
     df = df.withColumn(u, F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " ")))
     df = df.withColumn(u, F.expr(f"if({u} = '', cast(array() as array<string>), split({u}, ' '))"))
-    df = df.withColumn(u, F.expr(f"if(size({u}) < {FEW}, filter(split(array_join({u}, ' '), ''), c -> c != ''), {u})"))
+    if chars:
+        df = df.withColumn(u, F.expr(f"if(size({u}) < {FEW}, filter(split(array_join({u}, ' '), ''), c -> c != ''), cast(array() as array<string>))"))
     df = df.withColumn(h, F.expr(f"transform({u}, x -> xxhash64(x))")).drop(u)
     return df.withColumn(s, F.expr(f"transform({h}, (x, i) -> xxhash64(x, {', '.join(f'get({h}, i + {d})' for d in range(1, S))}))"))
 
@@ -57,24 +62,33 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     h, s = f"_{out}_h", f"_{out}_s"
     every = f"array_compact({chosen(h, s, f'struct(i as pos, {run_hash(h, s)} as hash)')})"
     none = "cast(array() as array<struct<pos:int,hash:bigint>>)"
-    return with_hashes(df, text, h, s).withColumn(out, F.expr(f"case when size({h}) = 0 then {none} when size({h}) < {K} then array(struct(0 as pos, {few_hash(h)} as hash)) else {every} end")).drop(h, s)
+    df = with_hashes(df, text, h, s).withColumn(out, F.expr(every))
+    return df.withColumn(out, F.expr(f"case when size({h}) = 0 then {none} when size({out}) = 0 then array(struct(0 as pos, {few_hash(h)} as hash)) else {out} end")).drop(h, s)
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with array ``out`` of the smallest distinct anchor hashes of column ``text`` (not null)."""
-    h, s = f"_{out}_h", f"_{out}_s"
-    smallest = f"slice(array_sort(array_distinct(array_compact({chosen(h, s, run_hash(h, s))}))), 1, {SKETCH})"
-    return with_hashes(df, text, h, s).withColumn(out, F.expr(f"case when size({h}) = 0 then cast(array() as array<bigint>) when size({h}) < {K} then array({few_hash(h)}) else {smallest} end")).drop(h, s)
+    """``df`` with arrays of the smallest distinct anchor hashes of column ``text`` (not null): ``out`` and ``out``_chars."""
+    for name, chars in ((out, False), (f"{out}_chars", True)):
+        h, s = f"_{name}_h", f"_{name}_s"
+        smallest = f"slice(array_sort(array_distinct(array_compact({chosen(h, s, run_hash(h, s))}))), 1, {SKETCH})"
+        df = with_hashes(df, text, h, s, chars).withColumn(name, F.expr(smallest))
+        df = df.withColumn(name, F.expr(f"if(size({h}) > 0 and size({name}) = 0, array({few_hash(h)}), {name})")).drop(h, s)
+    return df
 
 
 def told(sketch: str) -> Column:
-    return F.expr(f"array_join(transform({sketch}, x -> lower(lpad(hex(x), 8, '0'))), '')")
+    part = lambda c: f"array_join(transform({c}, x -> lower(lpad(hex(x), 8, '0'))), '')"
+    return F.expr(f"concat({part(sketch)}, if(size({sketch}_chars) > 0, concat('-', {part(sketch + '_chars')}), ''))")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of common anchors among the smallest of both; 1 for two empty ones."""
-    union = f"slice(array_sort(array_union({a}, {b})), 1, {SKETCH})"
-    return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1D when size({a}) = 0 or size({b}) = 0 then 0D else size(array_intersect(array_intersect({a}, {b}), {union})) / cast(size({union}) as double) end")
+    """Share of common anchors among the smallest of both, of characters if both texts are short; 1 for two empty ones."""
+
+    def share(a: str, b: str) -> str:
+        union = f"slice(array_sort(array_union({a}, {b})), 1, {SKETCH})"
+        return f"case when size({a}) = 0 and size({b}) = 0 then 1D when size({a}) = 0 or size({b}) = 0 then 0D else size(array_intersect(array_intersect({a}, {b}), {union})) / cast(size({union}) as double) end"
+
+    return F.expr(f"if(size({a}_chars) > 0 and size({b}_chars) > 0, {share(a + '_chars', b + '_chars')}, {share(a, b)})")
 
 
 def bucketed(rows: DataFrame, key: str) -> DataFrame:
@@ -101,11 +115,11 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.select(F.col(id_col).alias("id"), key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_sketch(bucketed(rows, "key"), "text", "sketch")
     order = Window.partitionBy("bucket").orderBy(F.asc("guest"), F.desc("key"), F.asc("text"))
-    rows = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).where(~F.col("guest"))
+    rows = rows.withColumn("next", F.lead(F.struct("text", "sketch", "sketch_chars")).over(order)).where(~F.col("guest"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     cut = "cast(floor(n_chars / 3) as int)"
     text = F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {cut}), substring(next.text, 1, {cut}))")
-    return rows.select("id", "n_chars", "sketch", text.alias("edited"), F.col("next.sketch").alias("next_sketch"))
+    return rows.select("id", "n_chars", "sketch", "sketch_chars", text.alias("edited"), F.col("next.sketch").alias("next_sketch"), F.col("next.sketch_chars").alias("next_sketch_chars"))
 
 
 def report(docs: DataFrame) -> DataFrame:

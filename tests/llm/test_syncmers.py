@@ -83,6 +83,24 @@ def test_anchors_hang_on_nothing_around_them(spark):
     assert alone <= a and alone <= b
 
 
+def test_likeness_across_the_border_of_short_texts(spark):
+    r = random.Random(11)
+    for n in (24, 26, 30):
+        long = words(r, n)
+        copy = " ".join(long.split()[: syncmers.FEW - 1])  # short, and a part of the other
+        got = rows_by_id(syncmers.report(documents(spark, [long, copy, "x", long], [4, 3, 2, 1])))
+        assert got[4].near_next > 0.4  # the long text and its shorter copy
+        assert got[1].near_edited > 0.25  # the edit leaves two thirds, fewer words than the border
+    assert got[2].near_next == 0
+
+
+def test_no_text_has_an_empty_fingerprint(spark):
+    r = random.Random(12)
+    texts = [words(r, 5) for _ in range(30)] + ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(30)]
+    got = syncmers.report(documents(spark, texts)).collect()
+    assert all(re.fullmatch("([0-9a-f]{8})+-([0-9a-f]{8})+", x.fingerprint) for x in got)
+
+
 @pytest.mark.parametrize("texts, ids", [(["only one text"], [5]), (["a b", "c d e", "c d e"], [1, 1, 1]), (["abc", "defg", None, "hi"], [None, 3, None, 3])])
 def test_ties_and_nulls(spark, texts, ids):
     want = sorted(hashlib.sha256(t.encode()).hexdigest() for t in edited(texts, ids).values())
