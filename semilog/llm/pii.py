@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect
 from functools import lru_cache
 
 import numpy as np
@@ -43,6 +44,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Generators of candidates; each may propose what a base pattern has dropped or cannot see.
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?i:at) ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?(?i:dot) ?[\])}]) ?[A-Za-z0-9-]{1,63}){1,8}")
 NUMBER = re.compile(r"\(?[0-9](?:[ ().-]{0,2}[0-9])++")
+DIGITS = re.compile(r"[0-9]+")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])")
 CUES = {
     "email": re.compile(r"mail|contact|write|reach", re.I),
@@ -53,6 +55,8 @@ CUES = {
     "other": re.compile(r"version|order|invoice|isbn|ticket|item|page|score|date|total|ref|serial|\$|€", re.I),
 }
 AROUND = 32
+#: Proposals that are scored together; bounds memory for texts full of numbers.
+SCORED_AT_ONCE = 1 << 14
 
 
 def luhn(digits: str) -> bool:
@@ -107,9 +111,18 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     if "(" in low or "[" in low or "{" in low:
         out += [(m.start(), 0, m.end()) for m in SPELLED.finditer(text)]
     for m in NUMBER.finditer(text):
-        if 8 <= m.end() - m.start() <= 40 and 7 <= (n := len(only_digits(m[0]))) <= 19:
-            start = m.start() - (m.start() > 0 and text[m.start() - 1] == "+")
-            out += [(start, k, m.end()) for k, ok in ((2, n >= 12), (3, n <= 15), (5, n == 9)) if ok]
+        groups = [g.span() for g in DIGITS.finditer(text, m.start(), m.end())]
+        for i, (start, _) in enumerate(groups):
+            # A number may stand beside others, so runs of whole groups are proposed too, if not of single digits mostly.
+            n, start = 0, start - (start > m.start() and text[start - 1] == "(")
+            start -= start > 0 and text[start - 1] == "+"
+            for j in range(i, len(groups)):
+                first, end = groups[j]
+                n += end - first
+                if n > 19 or end - start > 41:
+                    break
+                if n >= 7 and end - start >= 8 and (n >= 2 * (j - i) + 1 or i == 0 and j == len(groups) - 1):
+                    out += [(start, k, end) for k, ok in ((2, n >= 12), (3, n <= 15), (5, n == 9)) if ok]
     if IBAN.search(text):
         out += [(m.start(), 4, m.end()) for m in IBAN.finditer(text)]
     return out
@@ -207,7 +220,8 @@ class Selector:
             proposals += [(i, c) for c in own]
         every = [list(b) for b in base]
         if proposals:
-            p = self.probability(np.array([features(texts[i], c) for i, c in proposals], float))
+            scored = [proposals[at : at + SCORED_AT_ONCE] for at in range(0, len(proposals), SCORED_AT_ONCE)]
+            p = np.concatenate([self.probability(np.array([features(texts[i], c) for i, c in part], float)) for part in scored])
             chosen: dict[int, list] = {}
             for (i, c), score in sorted(zip(proposals, p.tolist()), key=lambda v: (v[0][0], -v[1], v[0][1])):
                 if score >= self.thresholds.get(c[1], 1.1):
@@ -215,8 +229,9 @@ class Selector:
             for i, own in chosen.items():
                 taken: list[tuple[int, int, int]] = []
                 for c in own:
-                    if clear([c], taken):
-                        taken = sorted([*taken, c])
+                    at = bisect(taken, c)
+                    if (at == 0 or taken[at - 1][2] <= c[0]) and (at == len(taken) or c[2] <= taken[at][0]):
+                        taken.insert(at, c)
                 every[i] = sorted(base[i] + taken)
         return base, every
 

@@ -54,6 +54,28 @@ def test_clean_texts_stay():
     assert pii.selector().spans(clean)[1] == [[]] * len(clean)
 
 
+BESIDE = [
+    ("ssn 123-45-6789. 24 people", ["ssn:4:15"]),
+    ("social security number 078-05-1120 (2) on file", ["ssn:23:34"]),
+    ("call 212-555-1234 212-555-9876", ["phone:5:17", "phone:18:30"]),
+    ("call 212-555-1234. 24 hours", ["phone:5:17"]),
+    ("phone: (415) 555-2671 (415) 555-2672 today", ["phone:7:21", "phone:22:36"]),
+    ("card 4111 1111 1111 1111 24 items", ["card:5:24"]),
+]
+
+
+def test_numbers_beside_others_are_found():
+    for text, want in BESIDE:
+        assert pii.told(pii.selector().spans([text])[1][0]).split(",") == want, text
+    assert (7, 5, 18) in pii.candidates("room 5 123-45-6789")
+
+
+def test_a_long_list_of_numbers():
+    text = "call " + " ".join(["212-555-1234", "415-555-9876"] * 1000) + " " + "12 " * 3000
+    found = pii.selector().spans([text])[1][0]
+    assert sum(k == 3 for _, k, _ in found) >= 1 and all(a[2] <= b[0] for a, b in zip(found, found[1:]))
+
+
 def test_held_out_precision_and_recall():
     made = pii.synthetic(1500, 99)
     model = pii.selector()
