@@ -1,5 +1,10 @@
 """The registered queries against their SQL, on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -33,3 +38,29 @@ def test_query(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+WITHOUT = """
+import sys
+import __spark_entry__ as entry
+if {missing!r}:
+    sys.modules[{missing!r}] = None
+names = set(entry.queries())
+assert set(entry.oracle_sql()) <= names and 'tc_bool' in names
+assert not [n for n in names if n.startswith('op') or n == 'pipeline'], names
+"""
+
+
+@pytest.mark.parametrize("gone, missing", [(("semilog/llm", "tests/llm"), ""), (("semilog/llm", "tests/llm", "corpus_pipeline.py"), ""), ((), "xxhash")])
+def test_the_rest_works_without_the_corpus_operators(tmp_path, gone, missing):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = str(tmp_path / "repo")
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    for path in gone:
+        path = os.path.join(copy, path)
+        shutil.rmtree(path, ignore_errors=True) if not path.endswith(".py") else os.path.exists(path) and os.remove(path)
+    if missing and not os.path.isdir(os.path.join(copy, "semilog", "llm")):
+        pytest.skip("the corpus operators are not there")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", WITHOUT.format(missing=missing)], cwd=copy, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
