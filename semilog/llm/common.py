@@ -47,6 +47,14 @@ def with_arrow(df: DataFrame, inputs: list[str], fields: list[T.StructField], ma
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: What a Python worker remembers from task to task, by operator; only the operator that runs keeps its own.
 REMEMBERED: dict[str, dict] = {}
 
@@ -89,7 +97,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-__all__ = ["exists", "give_back", "materialise", "remembered", "scratch", "slices", "texts_of", "tokenizer_file", "with_arrow"]
+__all__ = ["exists", "give_back", "materialise", "remembered", "scratch", "slices", "texts_of", "tokenizer_file", "unused", "with_arrow"]
 
 
 def tokenizer_file(name: str) -> str:

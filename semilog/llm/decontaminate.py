@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semilog.llm.common import remembered, texts_of, with_arrow
+from semilog.llm.common import remembered, texts_of, unused, with_arrow
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS, SEED = 5, 0.8, 15, 4, 42
 PART_CHARS = 8_000_000
@@ -259,7 +259,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             part = shared.value
             return [pa.array([not part.matches(t) for t in texts_of(texts)], pa.bool_())]
 
-        kept = with_arrow(kept, [text_col], [T.StructField("_clean", T.BooleanType())], make).where("_clean").drop("_clean")
+        clean = unused(kept, "_clean")
+        kept = with_arrow(kept, [text_col], [T.StructField(clean, T.BooleanType())], make).where(F.col(clean)).drop(clean)
     return kept
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semilog.llm.boost import sigmoid
-from semilog.llm.common import give_back, remembered, slices, texts_of, with_arrow
+from semilog.llm.common import give_back, remembered, slices, texts_of, unused, with_arrow
 
 BUCKETS, WIDTH, NONZERO, REACH, BLOCK = 1 << 14, 64, 2, 2, 256
 SAMPLE, HIDDEN, EPOCHS, SEED = 20_000, 32, 40, 5
@@ -238,8 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str =
     return Network(x, y, held)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``score``, the calibrated probability that ``label_col`` is 1."""
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, out: str = "score") -> DataFrame:
+    """``docs`` with ``out``, the calibrated probability that ``label_col`` is 1."""
     vectors = word_vectors(docs, text_col)
     model = train(docs, labels, vectors, id_col, text_col, label_col, sample)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, model))
@@ -248,7 +248,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         table, fitted = shared.value
         return [pa.array(fitted.scores(pooled(texts_of(texts), table).astype(float)), pa.float64())]
 
-    return with_arrow(docs, [text_col], [T.StructField("score", T.DoubleType())], make)
+    return with_arrow(docs, [text_col], [T.StructField(out, T.DoubleType())], make)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -258,7 +258,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those that score below ``least``."""
-    name = "score"
-    plain = docs.withColumnRenamed(name, "_kept_score") if name in docs.columns else docs
-    kept = score(plain, labels).where(F.col(name) >= least).drop(name)
-    return kept.withColumnRenamed("_kept_score", name) if name in docs.columns else kept
+    name = unused(docs, "score")
+    return score(docs, labels, out=name).where(F.col(name) >= least).drop(name)

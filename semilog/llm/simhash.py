@@ -5,9 +5,10 @@ votes on 64 bits. Shingle byte ranges and the votes come from numpy over a whole
 
 Comparison: distinct fingerprints are dealt into cells by the population counts of their two halves. Two
 fingerprints within the radius have counts that differ by at most the radius in sum, so a cell meets only the cells
-that near; all others are skipped unseen. Where a cell has many fingerprints, it is dealt over several tasks. In a
-task, both sides are sorted by the counts of their eight bytes and cut into tiles; a pair of tiles whose counts lie
-further apart than the radius is skipped, and the others are compared exactly: numpy exclusive-or and bit counts.
+that near; all others are skipped unseen. Where a cell has many fingerprints, it is dealt over several tasks, each of
+which holds about ``CELL_ROWS`` of its own and lets the others pass, ``OTHERS_AT_ONCE`` at a time. Both sides are sorted
+by the counts of their eight bytes and cut into tiles; a pair of tiles whose counts lie further apart than the radius is
+skipped, and the others are compared exactly: numpy exclusive-or and bit counts.
 
 A task merges what it finds, so it emits at most one link for each fingerprint it holds and never the pairs of a
 group. Components of the links are found in rounds over DataFrames; copies (equal fingerprints) count once there.
@@ -34,6 +35,8 @@ from semilog.llm.components import smallest_reachable
 SEED, RADIUS, SHINGLE = 42, 4, 4
 #: Fingerprints of one cell that a task owns, and rows and columns of a tile.
 CELL_ROWS, TILE_ROWS, TILE_COLUMNS = 65_536, 128, 2_048
+#: Visiting fingerprints that a task holds beside its own.
+OTHERS_AT_ONCE = 1 << 18
 #: Hashes that are unpacked to bits at once; bounds memory for very long texts.
 VOTES_AT_ONCE = 1 << 16
 
@@ -84,10 +87,10 @@ def byte_counts(fps: np.ndarray) -> np.ndarray:
 
 
 class Merged:
-    """Labels of fingerprints; linked ones get the same."""
+    """Labels of fingerprints; linked ones get the same, the smallest."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        self.label = label
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         la, lb = self.label[a], self.label[b]
@@ -128,37 +131,47 @@ def sort_by_counts(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[order], counts[order]
 
 
-def links(own: np.ndarray, others: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): links that join all of ``own`` and ``others`` within the radius, at most one for each fingerprint.
-
-    ``others`` are compared with ``own`` only; ``own`` may come again among them.
-    """
-    own, own_counts = sort_by_counts(own)
-    others, other_counts = sort_by_counts(others)
-    merged = Merged(len(own) + len(others))
-    lo_a, hi_a = boxes(own_counts, TILE_ROWS)
-    lo_b, hi_b = boxes(other_counts, TILE_COLUMNS)
-    for i in range(len(lo_a)):
-        rows = own[i * TILE_ROWS : (i + 1) * TILE_ROWS]
-        apart = np.maximum(np.maximum(lo_a[i] - hi_b, lo_b - hi_a[i]), 0).sum(1)
-        for j in np.flatnonzero(apart <= radius).tolist():
-            first = j * TILE_COLUMNS
-            # Inside the tile, rows of the columns' side that are too far from the whole row tile go too.
-            c = other_counts[first : first + TILE_COLUMNS]
-            near = np.flatnonzero(np.maximum(np.maximum(lo_a[i] - c, c - hi_a[i]), 0).sum(1) <= radius)
-            if len(near):
-                columns = others[first + near]
-                a, b = np.nonzero(np.bitwise_count(rows[:, None] ^ columns[None, :]) <= radius)
-                if len(a):
-                    merged.link(i * TILE_ROWS + a, len(own) + first + near[b])
-    every = np.concatenate([own, others])
-    moved = np.flatnonzero(merged.label != np.arange(len(every)))
-    a, b = every[moved], every[merged.label[moved]]
-    real = a != b
-    return a[real], b[real]
-
-
-def near_pairs(distinct: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
+class Linker:
+    """A task's own fingerprints and what links them, as others pass."""
+
+    def __init__(self, own: np.ndarray, radius: int = RADIUS):
+        self.radius = radius
+        self.own, counts = sort_by_counts(own)
+        self.lo, self.hi = boxes(counts, TILE_ROWS)
+        self.label = np.arange(len(own))
+
+    def meet(self, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b): a link for each of ``others`` that is near one of the own, of which several may become one by it."""
+        n = len(self.own)
+        others, counts = sort_by_counts(others)
+        merged = Merged(np.concatenate([self.label, np.arange(n, n + len(others))]))
+        lo_b, hi_b = boxes(counts, TILE_COLUMNS)
+        for i in range(len(self.lo)):
+            lo, hi, rows = self.lo[i], self.hi[i], self.own[i * TILE_ROWS : (i + 1) * TILE_ROWS]
+            apart = np.maximum(np.maximum(lo - hi_b, lo_b - hi), 0).sum(1)
+            for j in np.flatnonzero(apart <= self.radius).tolist():
+                first = j * TILE_COLUMNS
+                # Inside the tile, rows of the columns' side that are too far from the whole row tile go too.
+                c = counts[first : first + TILE_COLUMNS]
+                near = np.flatnonzero(np.maximum(np.maximum(lo - c, c - hi), 0).sum(1) <= self.radius)
+                if len(near):
+                    a, b = np.nonzero(np.bitwise_count(rows[:, None] ^ others[first + near][None, :]) <= self.radius)
+                    if len(a):
+                        merged.link(i * TILE_ROWS + a, n + first + near[b])
+        self.label = merged.label[:n]
+        moved = np.flatnonzero(merged.label[n:] < n)
+        return real_links(others[moved], self.own[merged.label[n + moved]])
+
+    def between_own(self) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.flatnonzero(self.label != np.arange(len(self.own)))
+        return real_links(self.own[moved], self.own[self.label[moved]])
+
+
+def real_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return a[a != b], b[a != b]
+
+
+def near_pairs(distinct: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS, at_once: int = OTHERS_AT_ONCE) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp`` that connect all those within ``radius`` bits."""
     high, low = half_counts("fp")
     celled = distinct.select("fp", high.alias("h"), low.alias("l"))
@@ -170,18 +183,28 @@ def near_pairs(distinct: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_
     owned = celled.join(F.broadcast(parts), ["h", "l"]).select(cell(F.col("h"), F.col("l")).alias("cell"), F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("own"), "fp")
     visiting = celled.select("fp", F.explode(offsets).alias("o"), "h", "l").select("fp", (F.col("h") - F.col("o.dh")).alias("h"), (F.col("l") - F.col("o.dl")).alias("l"))
     visiting = visiting.join(F.broadcast(parts), ["h", "l"]).select(cell(F.col("h"), F.col("l")).alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("own"), "fp")
-    dealt = owned.union(visiting).repartition("cell", "part").sortWithinPartitions("cell", "part")
+    dealt = owned.union(visiting).repartition("cell", "part").sortWithinPartitions("cell", "part", F.desc("own"))
+
+    def told(links: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in links], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(key, held):
-            own = np.concatenate([fps[mine] for mine, fps in held])
-            others = np.concatenate([fps[~mine] for mine, fps in held])
-            if len(own) and len(others):
-                a, b = links(own, others, radius)
-                return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
-            return None
-
-        key, held = None, []
+        key, own, others, linker = None, [], [], None
+
+        def pass_by() -> Iterator[pa.RecordBatch]:
+            nonlocal linker, others
+            if own and others:
+                linker = linker or Linker(np.concatenate(own), radius)
+                yield told(linker.meet(np.concatenate(others)))
+            others = []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal linker, own
+            yield from pass_by()
+            if linker:
+                yield told(linker.between_own())
+            own, linker = [], None
+
         for batch in batches:
             keys = batch.column(0).to_numpy() * (1 << 31) + batch.column(1).to_numpy()
             mine = batch.column(2).to_numpy(zero_copy_only=False)
@@ -190,14 +213,15 @@ def near_pairs(distinct: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
-                if keys[a] != key and held:
-                    if out := flush(key, held):
-                        yield out
-                    held = []
-                key = keys[a]
-                held.append((mine[a:b], fps[a:b]))
-        if held and (out := flush(key, held)):
-            yield out
+                if keys[a] != key:
+                    yield from finish()
+                    key = keys[a]
+                if mine[a]:
+                    own.append(fps[a:b][mine[a:b]])
+                others.append(fps[a:b][~mine[a:b]])
+                if sum(map(len, others)) >= at_once:
+                    yield from pass_by()
+        yield from finish()
 
     return dealt.select(F.col("cell").cast("long"), F.col("part").cast("long"), "own", "fp").mapInArrow(run, "u long, v long")
 

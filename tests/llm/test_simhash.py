@@ -55,16 +55,23 @@ def test_tiles_lose_no_link(monkeypatch):
     monkeypatch.setattr(simhash, "TILE_ROWS", 8)
     monkeypatch.setattr(simhash, "TILE_COLUMNS", 16)
     fps = near_fingerprints(400)
-    a, b = simhash.links(fps, fps)
     nodes = [int(x) for x in fps]
-    assert component_labels(nodes, zip(a.tolist(), b.tolist())) == component_labels(nodes, brute_pairs(fps, 4))
+    for at_once in (len(fps), 37):  # all others together, and in passing
+        linker, found = simhash.Linker(fps), []
+        for at in range(0, len(fps), at_once):
+            a, b = linker.meet(fps[at : at + at_once])
+            assert len(a) <= at_once
+            found += zip(a.tolist(), b.tolist())
+        a, b = linker.between_own()
+        found += zip(a.tolist(), b.tolist())
+        assert component_labels(nodes, found) == component_labels(nodes, brute_pairs(fps, 4))
 
 
 def test_cells_lose_no_link(spark):
     fps = near_fingerprints(600, 3)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    for rows in (10**6, 7):  # one part for each cell, and several
-        found = [(r.u & (2**64 - 1), r.v & (2**64 - 1)) for r in simhash.near_pairs(df, cell_rows=rows).collect()]
+    for rows, at_once in ((10**6, 10**6), (7, 5)):  # one part for each cell and all others held, and several parts and few others
+        found = [(r.u & (2**64 - 1), r.v & (2**64 - 1)) for r in simhash.near_pairs(df, cell_rows=rows, at_once=at_once).collect()]
         nodes = [int(x) for x in fps]
         assert component_labels(nodes, found) == component_labels(nodes, brute_pairs(fps, 4))
 
