@@ -43,6 +43,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Generators of candidates; each may propose what a base pattern has dropped or cannot see.
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?i:at) ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?(?i:dot) ?[\])}]) ?[A-Za-z0-9-]{1,63}){1,8}")
+BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: (?i:dot) [A-Za-z0-9_%+-]{1,63}){0,3} (?i:at) [A-Za-z0-9-]{1,63}(?:(?: (?i:dot) |\.)[A-Za-z0-9-]{1,63}){1,8}")
+#: Names that mail domains often end with.
+TOP = frozenset(("com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "at", "ch", "fr", "es", "it", "nl", "uk", "us"))
 NUMBER = re.compile(r"\(?[0-9](?:[ ().-]{0,2}[0-9])++")
 DIGITS = re.compile(r"[0-9]+")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])")
@@ -110,6 +113,8 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     low = text if "@" not in text else text.replace("@", " ")
     if "(" in low or "[" in low or "{" in low:
         out += [(m.start(), 0, m.end()) for m in SPELLED.finditer(text)]
+    if (" at " in text or " AT " in text) and re.search(r"\b(?i:dot)\b", text):
+        out += [(m.start(), 0, m.end()) for m in BARE.finditer(text)]
     for m in NUMBER.finditer(text):
         groups = [g.span() for g in DIGITS.finditer(text, m.start(), m.end())]
         for i, (start, _) in enumerate(groups):
@@ -142,6 +147,7 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
         left.isalnum(), right.isalnum(), left in "$€£#", right in "%", luhn(digits) if kind == 2 else 0,
         kind == 4 and 15 <= len(solid) <= 34 and solid.isascii() and solid.isalnum() and mod97(solid),
         groups == [3, 2, 4], groups in ([3, 3, 4], [1, 3, 3, 4]), "dot" in s.lower(), len(set(digits)) if digits else 0,
+        kind == 0 and re.split("[^A-Za-z]+", s.rstrip(")]} "))[-1].lower() in TOP, kind == 0 and any(c in s for c in "([{"), kind == 0 and len(re.findall(" dot ", s, re.I)),
         *(bool(c.search(before)) for c in CUES.values()), *(bool(c.search(after[:16])) for c in CUES.values()),
     ]
 
@@ -160,6 +166,9 @@ def synthetic(rows: int, seed: int) -> list[tuple[str, tuple[int, int, int], int
 
     def iban(good: bool) -> str:
         rest = num(r.randint(14, 20))
+        if r.random() < 0.4:
+            at = r.randrange(len(rest))
+            rest = rest[:at] + "".join(r.choice("ABCDEFGHJKLMNPRSTUW") for _ in range(r.randint(1, 4))) + rest[at + 1 :]
         head = r.choice(("DE", "FR", "ES", "GB", "NL"))
         check = 98 - int("".join(str(int(c, 36)) for c in rest + head + "00")) % 97
         s = f"{head}{check if good else (check + r.randint(1, 90)) % 97 + 2:02d}{rest}"
@@ -167,16 +176,21 @@ def synthetic(rows: int, seed: int) -> list[tuple[str, tuple[int, int, int], int
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"0{num(2)} {num(3)} {num(4)}"))
+        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"0{num(2)} {num(3)} {num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"0{num(2)} {num(6)} {num(2)}"))
+
+    def spelled(good: bool) -> str:
+        bare = r.random() < 0.4
+        at, dot = (" at ", " dot ") if bare else (r.choice([" (at) ", "[at]", " [at] ", "(at)"]), r.choice([" (dot) ", "[dot]", "."]))
+        top = r.choice(["com", "org", "net", "de", "fr", "ac dot uk", "edu"]) if good else word()
+        return f"{word()}{r.choice(['.', '', '_'])}{word()}{at if good or bare else r.choice([' (at) ', ' (AT) '])}{word()}{dot if good or bare else ' . '}{top}"
 
-    spelled = lambda: f"{word()}{r.choice(['.', '', '_'])}{word()}{r.choice([' (at) ', '[at]', ' [at] ', '(at)'])}{word()}{r.choice([' (dot) ', '[dot]', '.'])}{r.choice(['com', 'org', 'net', 'de'])}"
     cue = {0: ["contact", "mail me:", "e-mail", "write to"], 2: ["card", "visa", "credit card number", "payment with"], 3: ["call", "phone:", "tel", "mobile", "fax"], 4: ["iban", "account", "bank transfer to"], 5: ["ssn", "social security number", "SSN:"]}
     wrong = ["version", "order", "invoice no", "isbn", "ticket", "item", "page", "score", "date", "total", "ref", "serial", "$"]
     out = []
     for _ in range(rows):
         kind, good, plain = r.choice((0, 2, 2, 3, 3, 4, 5)), r.random() < 0.5, r.random() < 0.3
         if kind == 0:
-            s = spelled() if good else f"{word()} ({r.choice(['at', 'AT'])}) {word()} . {word()}"
+            s = spelled(good)
         elif kind == 2:
             s = card() if good else r.choice((num(16), num(13), " ".join(num(4) for _ in range(4)), num(12), f"{num(5)} {num(5)} {num(5)}"))
         elif kind == 3:
@@ -190,7 +204,11 @@ def synthetic(rows: int, seed: int) -> list[tuple[str, tuple[int, int, int], int
         else:
             hint = r.choice([*wrong, *cue[5]] if kind == 3 else wrong) if r.random() < 0.5 else ""
         head = " ".join(word() for _ in range(r.randint(0, 6))) + (f" {hint} " if hint else " ")
-        out.append((f"{head}{s} {' '.join(word() for _ in range(r.randint(0, 6)))}", (len(head), kind, len(head) + len(s)), int(good)))
+        glued = kind in (2, 3, 5) and not good and r.random() < 0.3  # a number of something else, grown together with letters
+        if glued and kind == 3 and r.random() < 0.7:
+            s = phone()
+        head, tail = (head + "A", " ") if glued and r.random() < 0.5 else (head, "X " if glued else " ")
+        out.append((f"{head}{s}{tail}{' '.join(word() for _ in range(r.randint(0, 6)))}", (len(head), kind, len(head) + len(s)), int(good)))
     return out
 
 
