@@ -5,10 +5,12 @@ lost: with all shingles in one order, two sets that similar share a shingle amon
 (n its size). The order is rare ones first, by counts over all texts in ``CELLS`` cells; any order is right, this one
 keeps buckets small.
 
-Candidates come in two rounds: fingerprints within some bits of each other and every text with the first that shares a
-leading shingle; then all pairs that share one but are not in one component yet, so that a large group of near copies
-never meets itself pair by pair. A candidate first passes the parities of its two sets (about a bit for each shingle):
-as many bits as differ, as many shingles at least do, so what fails is surely not similar. What is left is compared
+Candidates come in two rounds: fingerprints within some bits of each other, and every text with ``STARS`` of those that
+share a leading shingle with it (the least by as many orders of keys); then all pairs that share one but are not in one
+component yet, so that a large group of near copies never meets itself pair by pair. In that join a pair must also stand
+the test of places (behind a shared shingle at places i and j of the order, no more than n - i and m - j can be shared)
+and of ``SKETCH`` parities (as many bits as differ, as many shingles at least do). Neither drops a similar pair. Every
+candidate then passes the parities of its two sets at about a bit for each shingle. What is left is compared
 exactly, on sets made again from the texts in question; they are dealt by the second of the pair, in parts of
 ``TOGETHER`` pairs, and streamed past it.
 
@@ -39,6 +41,10 @@ CELLS, BLOCK, TASKS = 1 << 18, 1 << 14, 64
 MARKS = 1 << 23
 #: Pairs with one text that a task compares.
 TOGETHER = 1024
+#: Orders of keys by which a text's partners are chosen in the first round, each a fixed number that keys are mixed with.
+STARS = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D)
+#: Words of 64 parities that the join of the second round compares.
+SKETCH = 8
 LONGS = T.ArrayType(T.LongType())
 
 
@@ -87,9 +93,9 @@ def cell_counts(texts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def parity(own: np.ndarray) -> bytes:
-    """A bit for each cell of the set's own number of cells: whether it holds an odd number of shingles."""
-    size = 1 << max(6, (len(own) - 1).bit_length())
+def parity(own: np.ndarray, size: int = 0) -> bytes:
+    """A bit for each of ``size`` cells (of the set's own number if 0): whether it holds an odd number of shingles."""
+    size = size or 1 << max(6, (len(own) - 1).bit_length())
     counts = np.bincount((own >> np.uint64(32)).astype(np.int64) & (size - 1), minlength=size)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
@@ -107,12 +113,12 @@ def apart(a: bytes, b: bytes) -> int:
 
 
 def profiles(texts: DataFrame, similarity: float) -> DataFrame:
-    """id, key, fp, n, parity and the leading shingles (of which two similar sets share one) of every row."""
+    """id, key, fp, n, parity, sketch and the leading shingles (of which two similar sets share one) of every row."""
     shared = texts.sparkSession.sparkContext.broadcast(cell_counts(texts))
 
     def make(column: pa.Array) -> list[pa.Array]:
         counts = shared.value
-        keys, fps, sizes, parities, leading = [], [], [], [], []
+        keys, fps, sizes, parities, sketches, leading = [], [], [], [], [], []
         for t in texts_of(column):
             hashes = simhash.shingle_hashes(t, SHINGLE, SEED)
             own = np.unique(hashes.astype(np.uint64))
@@ -120,11 +126,12 @@ def profiles(texts: DataFrame, similarity: float) -> DataFrame:
             fps.append(simhash.voted(hashes) if len(hashes) else 0)
             sizes.append(len(own))
             parities.append(parity(own))
+            sketches.append(np.frombuffer(parity(own, 64 * SKETCH), "<i8"))
             first = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
             leading.append(own[np.lexsort((own, counts[(own % np.uint64(CELLS)).astype(np.int64)]))[:first]].view(np.int64))
-        return [signed(keys), signed(fps), pa.array(sizes, pa.int32()), pa.array(parities, pa.binary()), pa.array(leading, pa.list_(pa.int64()))]
+        return [signed(keys), signed(fps), pa.array(sizes, pa.int32()), pa.array(parities, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(leading, pa.list_(pa.int64()))]
 
-    fields = [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("parity", T.BinaryType()), T.StructField("leading", LONGS)]
+    fields = [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("parity", T.BinaryType()), T.StructField("sketch", LONGS), T.StructField("leading", LONGS)]
     return with_arrow(texts, ["text"], fields, make).drop("text")
 
 
@@ -189,27 +196,34 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 def links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, radius: int = simhash.RADIUS) -> DataFrame:
     """Links (u, v) between keys that connect all similar sets. ``rows`` are written profiles of ``texts``."""
-    sketches = materialise(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("parity").alias("parity")), "sketches")
+    sketches = materialise(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("sketch").alias("sketch")), "sketches")
     of_fp = sketches.groupBy("fp").agg(F.min("key").alias("first"))
     same = sketches.join(of_fp, "fp").where("key != first").select(F.col("key").alias("u"), F.col("first").alias("v"))
     near = simhash.near_pairs(materialise(of_fp.select("fp"), "fps"), radius)
     named = lambda k, c: of_fp.select(F.col("fp").alias(k), F.col("first").alias(c))
     near = near.withColumnsRenamed({"u": "x", "v": "y"}).join(named("x", "u"), "x").join(named("y", "v"), "y").select("u", "v")
 
-    held = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("leading").alias("leading")).select("key", "n", F.explode("leading").alias("s"))
-    heads = held.groupBy("s").agg(F.min("key").alias("head"), F.max("key").alias("last")).where("head < last").select("s", "head")
+    held = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("leading").alias("leading")).select("key", "n", F.posexplode("leading").alias("at", "s"))
+    orders = [F.min(F.col("key").bitwiseXOR(F.lit(x))).alias(f"h{i}") for i, x in enumerate(STARS)]
+    heads = held.groupBy("s").agg(*orders, F.max("key").alias("last")).where("h0 < last").drop("last")
     held = materialise(held.join(heads, "s"), "leading")
-    stars = held.where("key != head").select(F.col("key").alias("u"), F.col("head").alias("v"))
+    chosen = held.groupBy("key").agg(*[F.min(f"h{i}").alias(f"h{i}") for i in range(len(STARS))])
+    stars = chosen.select(F.col("key").alias("u"), F.explode(F.array(*[F.col(f"h{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(STARS)])).alias("v"))
     first = materialise(plausible(same.union(near).union(stars), sketches, similarity), "candidates")
     found = materialise(similar(first, texts, similarity), "links")
 
     roots = smallest_reachable(found).withColumnsRenamed({"u": "key", "v": "root"})
-    held = held.join(roots, "key", "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
+    held = held.join(roots, "key", "left").select("s", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     mixed = held.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
-    held = materialise(held.join(mixed, "s"), "mixed")
-    other = held.withColumnsRenamed({"key": "v", "n": "m", "root": "other"})
-    fits = (F.col("n") >= similarity * F.col("m") - 1e-9) & (F.col("m") >= similarity * F.col("n") - 1e-9)
-    rest = held.withColumnRenamed("key", "u").join(other, "s").where((F.col("u") < F.col("v")) & (F.col("root") != F.col("other")) & fits).select("u", "v")
+    words = [F.element_at("sketch", i + 1).alias(f"p{i}") for i in range(SKETCH)]
+    held = materialise(held.join(mixed, "s").join(sketches.select("key", *words), "key"), "mixed")
+    other = held.select("s", *[F.col(c).alias(f"o_{c}") for c in held.columns if c != "s"])
+    n, m, shared = F.col("n"), F.col("o_n"), similarity / (1 + similarity)
+    fits = (n >= similarity * m - 1e-9) & (m >= similarity * n - 1e-9) & (F.least(n - F.col("at"), m - F.col("o_at")) >= shared * (n + m) - 1e-9)
+    differing = sum(F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"o_p{i}"))) for i in range(SKETCH))
+    apart_at_most = (1 - similarity) / (1 + similarity) * (n + m) + 1e-9
+    rest = held.join(other, "s").where((F.col("key") < F.col("o_key")) & (F.col("root") != F.col("o_root")) & fits & (differing <= apart_at_most))
+    rest = rest.select(F.col("key").alias("u"), F.col("o_key").alias("v"))
     rest = materialise(plausible(rest, sketches, similarity).join(first, ["u", "v"], "left_anti"), "others")
     return found.union(materialise(similar(rest, texts, similarity), "other-links"))
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from semilog.llm import near
 from tests.llm.tables import documents
@@ -41,6 +43,17 @@ def test_every_similar_pair_is_linked(spark):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def test_parities_drop_no_similar_pair():
+    """What parities tell is never more than the shingles that two sets don't share."""
+    texts = corpus()
+    sets = [near.shingle_set(t or "") for t in texts]
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            differing = len(np.setxor1d(a, b))
+            assert near.apart(near.parity(a), near.parity(b)) <= differing
+            assert near.apart(near.parity(a, 512), near.parity(b, 512)) <= differing
+
+
 def test_nulls_and_empty_tables(spark):
     docs = documents(spark, ["a b c d e f", "A B C D E F", "other words", None, "", "null id", "null id"], [5, 2, 7, 8, 4, None, None])
     assert sorted((r.doc_id for r in near.keep_one(docs).collect()), key=str) == [2, 4, 7, None, None]
