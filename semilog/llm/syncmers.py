@@ -1,20 +1,23 @@
 """Document fingerprints by closed syncmers, in DataFrame functions only.
 
-A text's units are its words (lower case, cut at white space); one with fewer than ``FEW`` words also has a second set
-of anchors over its characters. Two short texts are compared by characters, all others by words, which every text has,
-so likeness is told across the border too. Every run of ``S`` units has a hash. A run of ``K`` units is a closed syncmer if, of the ``S``-runs inside it,
-the smallest hash is the first or the last one: whether it is chosen depends on it alone and not on what stands
-around it, so equal passages keep equal anchors wherever they are. The fingerprint is the ``SKETCH`` smallest distinct
-32-bit hashes of the chosen runs in hex, for short texts those of words, ``-`` and those of characters; likeness is the share of common ones among the smallest of both (an
-estimate of the Jaccard similarity that needs the two fingerprints alone).
+A text's units are its words (lower case, cut at white space), with ``K - 1`` border marks before and behind them, so
+texts of any length have the same kind of anchors. Every run of ``S`` units has a hash. A run of ``K`` units is a closed
+syncmer if, of the ``S``-runs inside it, the smallest hash is the first or the last one: whether it is chosen depends on
+it alone and not on what stands around it, so equal passages keep equal anchors wherever they are. At least one of
+``K - S`` neighbouring runs is chosen.
+
+The fingerprint has all anchors in order: for each one hex digit, the distance from the anchor before (from the border
+for the first), and eight, the 32-bit hash of its run; so places can be read back from it. Likeness matches anchors by
+place: a step is an anchor, the one before it and the distance between them, wherever it stands; likeness is the share
+of common steps among the distinct steps of both fingerprints.
 
 ``neighbours`` pairs each row with the next one by descending id without a global sort in one task: ids are cut at
 quantiles into buckets, and the highest row of each bucket is also dealt, as a guest, to the bucket above, whose last
-row is followed by it. The highest row of all follows the last.
+row is followed by it. The highest row of all follows the last. Only texts are moved; anchors are made after it.
 
-Defined results: a null text is the empty text, whose fingerprint is empty and like only to itself; a text with
-fewer units than ``K`` or none chosen has one anchor, the hash of them all; ties of ids are ordered by text, null ids come last;
-repeated rows have equal fingerprints; an empty table gives an empty table; other columns are ignored.
+Defined results: a null text is the empty text, whose fingerprint is empty and like only to itself; so is that of a text
+of white space; ties of ids are ordered by text, null ids come last; repeated rows have equal fingerprints; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,73 +25,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S, FEW, SKETCH = 5, 2, 24, 64
+K, S = 5, 2
 #: Rows of a bucket, about, and the most buckets for each shuffle partition.
 BUCKET_ROWS, BUCKETS_EACH = 1000, 4
+#: An anchor's hash is in the low bits of its item, the distance above them.
+HASH_BITS = 32
 
 
-def with_hashes(df: DataFrame, text: str, h: str, s: str, chars: bool = False) -> DataFrame:
-    """``df`` with the hashes ``h`` of the units of column ``text`` and ``s`` of its runs of ``S`` units.
+def with_hashes(df: DataFrame, text: str, h: str, s: str) -> DataFrame:
+    """``df`` with the hashes ``h`` of the units of column ``text``, borders included, and ``s`` of its runs of ``S`` units.
 
-    Units are words, or with ``chars`` the characters of texts of fewer than ``FEW`` words (none for others).
+    Both are empty for a text without words.
     """
-    u = f"_{h}_u"
+    u, borders = f"_{h}_u", ", ".join(["0L"] * (K - 1))
     df = df.withColumn(u, F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " ")))
-    df = df.withColumn(u, F.expr(f"if({u} = '', cast(array() as array<string>), split({u}, ' '))"))
-    if chars:
-        df = df.withColumn(u, F.expr(f"if(size({u}) < {FEW}, filter(split(array_join({u}, ' '), ''), c -> c != ''), cast(array() as array<string>))"))
-    df = df.withColumn(h, F.expr(f"transform({u}, x -> xxhash64(x))")).drop(u)
+    df = df.withColumn(h, F.expr(f"if({u} = '', cast(array() as array<bigint>), concat(array({borders}), transform(split({u}, ' '), x -> xxhash64(x)), array({borders})))")).drop(u)
     return df.withColumn(s, F.expr(f"transform({h}, (x, i) -> xxhash64(x, {', '.join(f'get({h}, i + {d})' for d in range(1, S))}))"))
 
 
-def chosen(h: str, s: str, value: str) -> str:
-    """The array of ``value`` for every closed syncmer, null for other places; x and i are its first run and place."""
-    inner = ", ".join(f"get({s}, i + {d})" for d in range(1, K - S))
-    return f"transform({s}, (x, i) -> if(i <= size({h}) - {K} and least(x, get({s}, i + {K - S})) <= least({inner}), {value}, null))"
-
-
 def run_hash(h: str, s: str) -> str:
-    """The 32-bit hash of the ``K`` units at place i."""
+    """The hash of the ``K`` units at place i, whose first run is x."""
     parts = [f"get({s}, i + {d})" for d in range(S, K - S + 1, S)] + [f"get({h}, i + {K - 1})"]
-    return f"xxhash64(x, {', '.join(parts)}) & 4294967295L"
-
-
-def few_hash(h: str) -> str:
-    return f"xxhash64(array_join(transform({h}, x -> string(x)), ' ')) & 4294967295L"
+    return f"xxhash64(x, {', '.join(parts)}) & {(1 << HASH_BITS) - 1}L"
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with array ``out`` of struct(pos, hash): the closed syncmers of column ``text`` (not null) in order."""
     h, s = f"_{out}_h", f"_{out}_s"
-    every = f"array_compact({chosen(h, s, f'struct(i as pos, {run_hash(h, s)} as hash)')})"
-    none = "cast(array() as array<struct<pos:int,hash:bigint>>)"
-    df = with_hashes(df, text, h, s).withColumn(out, F.expr(every))
-    return df.withColumn(out, F.expr(f"case when size({h}) = 0 then {none} when size({out}) = 0 then array(struct(0 as pos, {few_hash(h)} as hash)) else {out} end")).drop(h, s)
+    inner = ", ".join(f"get({s}, i + {d})" for d in range(1, K - S))
+    chosen = f"transform({s}, (x, i) -> if(i <= size({h}) - {K} and least(x, get({s}, i + {K - S})) <= least({inner}), struct(i as pos, {run_hash(h, s)} as hash), null))"
+    return with_hashes(df, text, h, s).withColumn(out, F.expr(f"array_compact({chosen})")).drop(h, s)
 
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with arrays of the smallest distinct anchor hashes of column ``text`` (not null): ``out`` and ``out``_chars."""
-    for name, chars in ((out, False), (f"{out}_chars", True)):
-        h, s = f"_{name}_h", f"_{name}_s"
-        smallest = f"slice(array_sort(array_distinct(array_compact({chosen(h, s, run_hash(h, s))}))), 1, {SKETCH})"
-        df = with_hashes(df, text, h, s, chars).withColumn(name, F.expr(smallest))
-        df = df.withColumn(name, F.expr(f"if(size({h}) > 0 and size({name}) = 0, array({few_hash(h)}), {name})")).drop(h, s)
-    return df
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``out``, an item (distance and hash in one number) for each anchor, and ``out``_steps, the distinct steps."""
+    a, mask = f"_{out}_a", f"{(1 << HASH_BITS) - 1}L"
+    df = with_anchors(df, text, a)
+    df = df.withColumn(out, F.expr(f"transform({a}, (x, i) -> shiftleft(bigint(x.pos - if(i = 0, -1, get({a}, i - 1).pos)), {HASH_BITS}) | x.hash)")).drop(a)
+    return df.withColumn(f"{out}_steps", F.expr(f"array_distinct(transform({out}, (x, i) -> xxhash64(x, if(i = 0, -1L, get({out}, i - 1) & {mask}))))"))
 
 
-def told(sketch: str) -> Column:
-    part = lambda c: f"array_join(transform({c}, x -> lower(lpad(hex(x), 8, '0'))), '')"
-    return F.expr(f"concat({part(sketch)}, if(size({sketch}_chars) > 0, concat('-', {part(sketch + '_chars')}), ''))")
+def told(fingerprint: str) -> Column:
+    return F.expr(f"lower(array_join(transform({fingerprint}, x -> hex(x)), ''))")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of common anchors among the smallest of both, of characters if both texts are short; 1 for two empty ones."""
-
-    def share(a: str, b: str) -> str:
-        union = f"slice(array_sort(array_union({a}, {b})), 1, {SKETCH})"
-        return f"case when size({a}) = 0 and size({b}) = 0 then 1D when size({a}) = 0 or size({b}) = 0 then 0D else size(array_intersect(array_intersect({a}, {b}), {union})) / cast(size({union}) as double) end"
-
-    return F.expr(f"if(size({a}_chars) > 0 and size({b}_chars) > 0, {share(a + '_chars', b + '_chars')}, {share(a, b)})")
+    """Share of common steps among those of both; 1 for two empty texts."""
+    both = f"size(array_intersect({a}, {b}))"
+    return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1D when size({a}) = 0 or size({b}) = 0 then 0D else {both} / cast(size({a}) + size({b}) - {both} as double) end")
 
 
 def bucketed(rows: DataFrame, key: str) -> DataFrame:
@@ -109,27 +93,27 @@ def bucketed(rows: DataFrame, key: str) -> DataFrame:
     return placed.withColumn("_place", F.explode(F.expr(f"if({key} = {array}[_bucket], array({own}, {guest}), array({own}))"))).select(*rows.columns, "_place.bucket", "_place.guest")
 
 
-def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, text, n_chars, sketch, the edited text and the next row's sketch."""
+def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, text, n_chars, its fingerprint (items and steps), the edited text and the next row's steps."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key")
     rows = docs.select(F.col(id_col).alias("id"), key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_sketch(bucketed(rows, "key"), "text", "sketch")
+    rows = with_fingerprint(bucketed(rows, "key").repartition("bucket"), "text", "own")
     order = Window.partitionBy("bucket").orderBy(F.asc("guest"), F.desc("key"), F.asc("text"))
-    rows = rows.withColumn("next", F.lead(F.struct("text", "sketch", "sketch_chars")).over(order)).where(~F.col("guest"))
+    rows = rows.withColumn("next", F.lead(F.struct("text", "own_steps")).over(order)).where(~F.col("guest"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     cut = "cast(floor(n_chars / 3) as int)"
-    text = F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {cut}), substring(next.text, 1, {cut}))")
-    return rows.select("id", "n_chars", "sketch", "sketch_chars", text.alias("edited"), F.col("next.sketch").alias("next_sketch"), F.col("next.sketch_chars").alias("next_sketch_chars"))
+    edited = F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {cut}), substring(next.text, 1, {cut}))")
+    return rows.select("id", "n_chars", "own", "own_steps", edited.alias("edited"), F.col("next.own_steps").alias("next_steps"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    rows = with_sketch(edited(docs), "edited", "edited_sketch")
+    rows = with_fingerprint(neighbours(docs), "edited", "changed")
     return rows.select(
         F.col("id").alias("doc_id"),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        told("sketch").alias("fingerprint"),
-        told("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"),
-        likeness("sketch", "next_sketch").alias("near_next"),
+        told("own").alias("fingerprint"),
+        told("changed").alias("edited_fingerprint"),
+        likeness("own_steps", "changed_steps").alias("near_edited"),
+        likeness("own_steps", "next_steps").alias("near_next"),
     )
