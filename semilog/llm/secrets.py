@@ -2,8 +2,10 @@
 
 Three base patterns with fixed rules are always reported. Beside them, runs of base64 or hex are decoded and
 reported only if what they decode to has the structure of a secret: a DER key whose nested lengths fill their
-parents exactly, an OpenSSH private key whose length-prefixed fields fit, or a signed token whose header is JSON
-with an algorithm. Armoured keys (``-----BEGIN ... PRIVATE KEY-----``) are decoded over their lines.
+parents exactly at every depth, an OpenSSH private key whose length-prefixed fields fit, or a signed token whose header
+is JSON with an algorithm. Armoured keys (``-----BEGIN ... PRIVATE KEY-----``) are decoded over their lines, be they
+broken by line feeds or by escapes, with or without headers; where a header says how the key is encrypted, the body need
+only be whole blocks.
 
 A text is first split at white space; runs that can be secrets are long, so nearly all texts need no more than that.
 No pattern can walk the same characters twice.
@@ -35,11 +37,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: The shortest run that is decoded.
-LEAST_RUN = 32
-TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+(?![A-Za-z0-9_-])")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----([A-Za-z0-9+/=\s]*+)-----END \1-----")
+#: The shortest run that is looked at: no structure below can be told in fewer characters, the least being a token with
+#: the header {"alg":""}, the content {} and no signature.
+LEAST_RUN = 19
+#: A JSON object starts with a brace or white space, so its base64 with one of these letters.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])[CDIe][A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+(?![A-Za-z0-9_-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}+={0,2}")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
+HEX_RUN = re.compile("(?:0[xX])?((?:[0-9a-fA-F]{2})+)")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -60,10 +65,10 @@ def has_long_run(text: str) -> bool:
 
 
 def decoded(run: str) -> bytes | None:
-    """What a run of hex or base64 (either alphabet, padded or not) stands for."""
+    """What a run of hex (behind 0x or not) or base64 (either alphabet, padded or not) stands for."""
     try:
-        if len(run) % 2 == 0 and re.fullmatch("[0-9a-fA-F]+", run):
-            return bytes.fromhex(run)
+        if m := HEX_RUN.fullmatch(run):
+            return bytes.fromhex(m[1])
         body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -83,29 +88,46 @@ def der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + size) if at + size <= end else None
 
 
+def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The items that fill the data from ``at`` to ``end``; None if they don't."""
+    out = []
+    while at < end:
+        item = der_item(data, at, end)
+        if item is None:
+            return None
+        out.append(item)
+        at = item[2]
+    return out
+
+
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE that fills the data, whose items fill it in turn and hold what keys hold.
+    """One SEQUENCE that fills the data, whose items fill it in turn, at every depth, and hold what keys hold.
 
     The items are a version and integers or an algorithm (private keys), or an algorithm and a bit string (public
-    keys), so there is an integer or an inner sequence first, and key material of 16 bytes or more.
+    keys) or an octet string (encrypted private keys), so there is an integer or an inner sequence first, and key
+    material of 16 bytes or more.
     """
     top = der_item(data, 0, len(data))
     if not top or top[0] != 0x30 or top[2] != len(data):
         return False
-    items, at = [], top[1]
-    while at < top[2]:
-        item = der_item(data, at, top[2])
-        if not item or item[0] not in (0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0x31, 0xA0, 0xA1):
-            return False
-        items.append(item)
-        at = item[2]
-    if len(items) < 2 or max(e - s for _, s, e in items) < 16:
+    items = der_items(data, top[1], top[2])
+    if items is None or len(items) < 2 or max(e - s for _, s, e in items) < 16:
         return False
     tags = [t for t, *_ in items]
+    if not set(tags) <= {0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0x31, 0xA0, 0xA1}:
+        return False
+    inner = der_items(data, items[0][1], items[0][2]) if tags[0] == 0x30 else None
     if tags[0] == 0x30:
-        inner = der_item(data, items[0][1], items[0][2])
-        return tags[1] == 0x03 and inner is not None and inner[0] == 0x06
-    return tags[0] == 0x02 and (set(tags) == {0x02} or 0x04 in tags)
+        fits = tags[1] in (0x03, 0x04) and bool(inner) and inner[0][0] == 0x06
+    else:
+        fits = tags[0] == 0x02 and (set(tags) == {0x02} or 0x04 in tags)
+    todo = [i for i in items if i[0] & 0x20]
+    while fits and todo:  # items with items inside
+        _, start, end = todo.pop()
+        inner = der_items(data, start, end)
+        fits = inner is not None
+        todo += [i for i in inner or () if i[0] & 0x20]
+    return fits
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -134,16 +156,25 @@ def is_signed_token(run: str) -> bool:
     return len(parts) == 3
 
 
+def is_armoured_key(body: str) -> bool:
+    """The lines between the marks, after headers: a key, or whole cipher blocks if a header tells the cipher."""
+    lines = body.replace("\\r", "\n").replace("\\n", "\n").split("\n")
+    headers = [x for x in lines if ":" in x]
+    data = decoded("".join("".join(x for x in lines if ":" not in x).split()))
+    if not data:
+        return False
+    if any(x.strip().startswith("DEK-Info:") for x in headers):
+        return len(data) >= 16 and len(data) % 8 == 0
+    return is_der_key(data) or is_openssh_key(data)
+
+
 def confirmed(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates whose decoded structure holds, without overlaps."""
     out = []
     if "-----BEGIN" in text:
-        for m in ARMOUR.finditer(text):
-            body = decoded("".join(m[2].split()))
-            if body and (is_der_key(body) or is_openssh_key(body)):
-                out.append((m.start(), 6, m.end()))
+        out += [(m.start(), 6, m.end()) for m in ARMOUR.finditer(text) if is_armoured_key(m[2])]
     if has_long_run(text):
-        if "eyJ" in text:
+        if text.count(".") >= 2:
             out += [(m.start(), 5, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
         for m in RUN.finditer(text):
             body = decoded(m[0])

@@ -63,8 +63,27 @@ def test_what_only_looks_like_one_is_not():
     assert kinds("-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY-----") == []
 
 
+def test_less_common_encodings():
+    token = lambda head, body="{}": f"{B64(head.encode()).rstrip('=')}.{B64(body.encode()).rstrip('=')}."
+    for head in ('{"alg":""}', '{ "alg": "none"}', '\n{"alg":"HS256"}', '\t{"alg":"x"}', ' {"typ":"JWT","alg":"RS256"}'):
+        run = token(head)
+        assert kinds(f"see {run} there") == ["signed_token"], head
+        assert secrets.spans(f"see {run} there")[1] == [(4, 5, 4 + len(run))]
+    assert len(token('{"alg":""}')) == secrets.LEAST_RUN
+    assert "der_key" in kinds(f"0x{KEY.hex()}") and "der_key" in kinds(f"0X{KEY.hex().upper()}")
+    encrypted = der(0x30, der(0x30, der(6, b"\x2a\x86\x48"), der(0x30, der(4, b"salt" * 2), der(2, b"\x08\0"))), der(4, bytes(range(100, 164))))
+    assert kinds(B64(encrypted)) == ["der_key"]
+    inner = bytearray(encrypted)
+    inner[inner.index(b"salt") - 1] += 1  # a length two levels down that leaves its parent
+    assert kinds(B64(bytes(inner))) == []
+    mark = lambda body: f"-----BEGIN RSA PRIVATE KEY-----{body}-----END RSA PRIVATE KEY-----"
+    assert "armoured_key" in kinds(mark("\\n" + B64(KEY)[:64] + "\\n" + B64(KEY)[64:] + "\\n"))
+    assert "armoured_key" in kinds(mark(f"\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n{B64(bytes(range(64)))}\n"))
+    assert kinds(mark(f"\nProc-Type: 4,ENCRYPTED\n\n{B64(bytes(range(64)))}\n")) == []
+
+
 def test_long_texts_are_linear():
-    secrets.spans("a" * 300000 + " token" * 50000 + "eyJa." * 50000 + "-----BEGIN PRIVATE KEY-----" * 10000 + "token" + " " * 100000 + "A" * 300000)
+    secrets.spans("a" * 300000 + " token" * 50000 + "eyJa." * 50000 + "Ie.e." * 50000 + "-----BEGIN PRIVATE KEY-----" * 10000 + "token" + " " * 100000 + "A" * 300000)
 
 
 def test_query(spark):
