@@ -9,8 +9,9 @@ texts apart, so any further normalisation would change counts.
 
 Plan: one scan writes the narrow table (id, content digest, bytes). The distinct digests without a stored count
 are found on narrow rows, where a group of copies is pre-aggregated before the shuffle. Only then are texts moved,
-dealt by document id, which has no hot keys, and each missing content is encoded in one place. Spark broadcasts
-the missing ids only where their written size is below its own threshold. The last join is narrow too; a content
+dealt by document id and content, and each missing content is encoded in one place: rows that repeat an id (or have
+none) and a text meet in one task, which encodes the first of them. Where the missing ids' written size is below Spark's
+threshold for a broadcast, texts stay where they are, and such rows are encoded once in each task that has one. The last join is narrow too; a content
 that many documents share is split by Spark's skew join.
 
 Defined results: a null text has 0 bytes and the count of the empty text; rows that repeat (id and text) repeat in
@@ -22,14 +23,14 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from semilog.llm.common import exists, materialise, scratch, texts_of, tokenizer_file, with_arrow
+from semilog.llm.common import exists, give_back, materialise, scratch, slices, texts_of, tokenizer_file
 
 #: Characters whose classes are alike in all Unicode versions in use; other texts go to the file's own library.
 UNCOMMON = re.compile("[^\x00-ɏ‐-‧ぁ-ゖァ-ヺ一-龥]|[\x1c-\x1f\x85]|\\s{500}")
@@ -107,12 +108,19 @@ def count_tokens(docs: DataFrame, cache_path: str, id_col: str = "doc_id", text_
     misses = materialise(wanted, "misses")
     found = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     hit = (found["id"].eqNullSafe(misses["id"])) & (F.unhex(F.sha2(found["text"].cast("binary"), 256)) == misses["content"])
-    texts = found.join(misses.hint("shuffle_hash") if misses.count() > 100_000 else misses, hit).select("content", "text")
-
-    def make(column: pa.Array) -> list[pa.Array]:
-        return [pa.array(counter(tokenizer_file(vocabulary))(texts_of(column)), pa.int64())]
-
-    counted = with_arrow(texts, ["text"], [T.StructField("n_tokens", T.LongType())], make)
+    texts = found.join(misses, hit).select("content", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()
+        for batch in batches:
+            for run in slices(batch):
+                first = {c: i for i, c in reversed(list(enumerate(run.column(0).to_pylist()))) if c not in done}
+                done.update(first)
+                numbers = counter(tokenizer_file(vocabulary))(texts_of(run.column(1).take(pa.array(list(first.values()), pa.int64()))))
+                yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), pa.array(numbers, pa.int64())], names=["content", "n_tokens"])
+        give_back()
+
+    counted = texts.mapInArrow(count, "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     return narrow.join(stored(spark, cache_path, version), "content").select(F.col("id").alias(id_col), "content", "n_bytes", "n_tokens")
 

@@ -57,4 +57,13 @@ def test_repeated_and_null_ids(spark, ids):
     docs = documents(spark, ["x", "x", "y z", "y z"], ids)
     rows = [(r.doc_id, r.n_tokens) for r in token_counts.counts(docs).collect()]
     assert sorted(rows, key=str) == sorted([(1, 1), (1, 1), (None, exact("y z")), (None, exact("y z"))], key=str)
+    path, key = scratch(spark, "cache"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")  # as on tables whose missing ids are no broadcast's size
+    try:
+        assert token_counts.count_tokens(docs, path).count() == 4
+    finally:
+        spark.conf.unset(key)
+    assert spark.read.parquet(path).count() == 2  # one count for each content
     assert token_counts.counts(documents(spark, [])).collect() == []
+    named = documents(spark, ["x"]).selectExpr("*", "1 as content", "2 as n_tokens", "3 as id", "4 as n_bytes")
+    assert token_counts.counts(named).collect()[0].n_tokens == 1
