@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from semilog.asp import solve as asp
 from semilog.asp.ground import Constraint
@@ -49,12 +50,19 @@ class Program:
         return self
 
     def bind(self, pred: str, df: DataFrame) -> Program:
-        """A predicate's tuples from a DataFrame of any size: its arguments in order, then a Trop predicate's weight."""
+        """A predicate's tuples from a DataFrame of any size: its arguments in order, then a Trop predicate's weight.
+
+        One more column, of a Bool predicate, is the probability of each row as a soft fact of its own.
+        """
         decl = self.decl(pred)
-        wanted = len(decl.args) + (decl.annotation.kind == "trop")
-        if len(df.columns) != wanted:
+        trop = decl.annotation.kind == "trop"
+        wanted = len(decl.args) + trop
+        if not trop and len(df.columns) == wanted + 1:
+            self.soft_bound[pred] = df
+        elif len(df.columns) == wanted:
+            self.bound[pred] = df
+        else:
             raise EvalError(f"`{pred}` needs {wanted} columns, not {len(df.columns)}")
-        self.bound[pred] = df
         return self
 
     def bind_file(self, spark: SparkSession, pred: str, path: str) -> Program:
@@ -66,6 +74,11 @@ class Program:
             raise ValueError(f"unknown predicate `{pred}`")
         return self.checked.decls[pred]
 
+    @property
+    def outside(self) -> dict[str, DataFrame]:
+        """The bound DataFrames, soft ones included."""
+        return {**self.bound, **self.soft_bound}
+
     # --- on one machine
 
     def eval(self) -> dict[str, list[tuple]]:
@@ -73,7 +86,7 @@ class Program:
 
         Soft facts don't count here.
         """
-        if self.bound:
+        if self.outside:
             raise EvalError("DataFrames are bound; use frames()")
         engine = local.plain(self.checked, budget_rows=LOCAL_ROWS * 10)
         return {p: ordered_rows(r.rows, self.checked.kind(p) == "trop") for p, r in engine.db.items()}
@@ -86,7 +99,13 @@ class Program:
         return pattern
 
     def prob_query(self, pred: str, pattern=None) -> list[tuple[tuple, float]]:
-        """Matching tuples with their probability; None in the pattern is open."""
+        """Matching tuples with their probability; None in the pattern is open.
+
+        Where DataFrames are bound the program runs over them, and the matching tuples are collected.
+        """
+        if self.soft_bound:
+            run, pattern = self.run(self.session, "proofs"), self.pattern(pred, pattern)
+            return [(row, r.p) for row, r in self.collected(run, pred, distributed.marginals(run, pred), pattern) if r.p > 0]
         return [(row, p) for row, p, _ in self.graded(pred, pattern) if p > 0]
 
     def grad_query(self, pred: str, pattern=None) -> list[tuple[tuple, float, list[float]]]:
@@ -95,6 +114,8 @@ class Program:
 
     def graded(self, pred: str, pattern) -> list[tuple[tuple, float, list[float]]]:
         pattern = self.pattern(pred, pattern)
+        if self.outside:
+            return self.graded_frames(pred, pattern)
         if pred in self.checked.modes:
             worlds.guard(self.checked, False)
             p = [s.p for s in self.checked.soft]
@@ -104,8 +125,33 @@ class Program:
         rows = [row for row in found if all(x is None or x == v and type(x) is type(v) for x, v in zip(pattern, row))]
         return [(row, *found[row]) for row in sorted(rows, key=row_key)]
 
+    @property
+    def session(self) -> SparkSession:
+        return next(iter(self.outside.values())).sparkSession
+
+    def collected(self, run: distributed.Run, pred: str, df: DataFrame, pattern=None) -> list[tuple[tuple, Row]]:
+        """Rows of a predicate that match a pattern, each behind its tuple, in order."""
+        kinds = run.kinds[pred]
+        for i, value in enumerate(pattern or ()):
+            if value is not None:
+                own = encoding.literal(value, kinds[i])
+                df = df.where(F.lit(False) if own is None else F.col(f"c{i}") == own)
+        rows = [(tuple(encoding.load(r[f"c{i}"], k) for i, k in enumerate(kinds)), r) for r in df.collect()]
+        return sorted(rows, key=lambda x: row_key(x[0]))
+
+    def graded_frames(self, pred: str, pattern: tuple) -> list[tuple[tuple, float, list[float]]]:
+        if self.soft_bound:
+            raise EvalError("gradients by soft facts of DataFrames aren't listed; use marginal_frame()")
+        captured = pred in self.checked.modes or len(self.checked.soft) > distributed.MAX_SOFT
+        run = self.run(self.session, "proofs" if captured else "worlds")
+        made = (distributed.gradients if captured else distributed.world_gradients)(run, pred)
+        return [(row, r.p, list(r.grad)) for row, r in self.collected(run, pred, made, pattern)]
+
     def provenance(self) -> dict[str, list[tuple[tuple, list[list[int]]]]]:
         """Every predicate's tuples with their minimal proofs (signed literals; soft fact i is i + 1)."""
+        if self.outside:
+            run = self.run(self.session, "proofs")
+            return {p: [(row, sorted(sorted(x) for x in r.proofs)) for row, r in self.collected(run, p, distributed.proof_lists(run, p))] for p in self.checked.decls}
         worlds.guard(self.checked, False)
         db = local.proofs(self.checked).db
         return {p: [(row, pf.lists(r.rows[row])) for row in sorted(r.rows, key=row_key)] for p, r in db.items()}
@@ -131,7 +177,7 @@ class Program:
         Without bound DataFrames a small program is run in this process, which spares a Spark job for each round; one
         that grows beyond ``LOCAL_ROWS`` rows is run over DataFrames.
         """
-        if not self.bound:
+        if not self.outside:
             try:
                 return self.local_frames(spark, local.plain(self.checked, budget_rows=LOCAL_ROWS))
             except local.TooLarge:
@@ -150,7 +196,7 @@ class Program:
 
     def marginal_frame(self, spark: SparkSession, pred: str) -> DataFrame:
         """Tuples with ``p``, by capture for predicates with provenance and over all worlds otherwise."""
-        mode = "proofs" if pred in self.checked.modes or len(self.checked.soft) > distributed.MAX_SOFT else "worlds"
+        mode = "proofs" if self.soft_bound or pred in self.checked.modes or len(self.checked.soft) > distributed.MAX_SOFT else "worlds"
         return distributed.marginals(self.run(spark, mode), pred)
 
 

@@ -49,7 +49,7 @@ class Run:
     """One evaluation of a checked program. ``bound`` has the DataFrames of predicates filled from outside.
 
     A bound frame's columns are the predicate's arguments in order, then the weight of a Trop predicate, or the
-    leaf (a bigint from 1 on) of a soft one.
+    probability of a soft one, whose rows are numbered as leaves behind the program's own; ``leaves`` has their p.
     """
 
     def __init__(self, spark: SparkSession, checked: Checked, mode: str = "plain", bound: dict[str, DataFrame] | None = None, soft_bound: dict[str, DataFrame] | None = None, budget: int = pf.BUDGET):
@@ -62,7 +62,10 @@ class Run:
         self.kinds = self.infer()
         self.dropped: list[DataFrame] = []
         self.soft_preds = self.soft_closure()
+        self.numbered = {} if mode == "plain" else {p: self.with_leaves(df, i) for i, (p, df) in enumerate(self.soft_bound.items())}
         if mode == "worlds":
+            if self.soft_bound:
+                raise TooManySoftFacts("soft facts of DataFrames have no worlds; capture proofs")
             if len(checked.soft) > MAX_SOFT:
                 raise TooManySoftFacts(f"{len(checked.soft)} soft facts; worlds are enumerated up to {MAX_SOFT}")
             self.worlds = spark.range(1 << len(checked.soft)).select(F.col("id").alias("world"))
@@ -70,6 +73,17 @@ class Run:
 
     # --- relations from outside
 
+    def with_leaves(self, df: DataFrame, at: int) -> DataFrame:
+        """A soft frame, written, with a number for each row as ``leaf``."""
+        own, n = len(self.checked.soft), len(self.soft_bound)
+        return written(df.withColumn("leaf", F.monotonically_increasing_id() * n + (own + at + 1)), "leaves")
+
+    @property
+    def leaves(self) -> DataFrame:
+        """(leaf, p) of all soft facts."""
+        own = self.spark.createDataFrame([(i + 1, float(s.p)) for i, s in enumerate(self.checked.soft)], "leaf long, p double")
+        return functools.reduce(DataFrame.union, [df.select("leaf", F.col(f"`{df.columns[-2]}`").cast("double").alias("p")) for df in self.numbered.values()], own)
+
     def infer(self) -> dict[str, list[str]]:
         given: dict[str, list[set[str]]] = {p: [set() for _ in range(n)] for p, n in self.arity.items()}
         rows = [(p, a) for p, a, _ in self.checked.facts]
@@ -143,9 +157,9 @@ class Run:
             leaves = self.spark.createDataFrame([store(s.args) + (i,) for i, s in soft], ", ".join(self.schema(pred).split(", ")[:-1]) + ", leaf int")
             out.append(leaves.crossJoin(self.worlds).where(F.expr("(shiftright(world, leaf) & 1) = 1")).drop("leaf"))
         if pred in self.soft_bound:
-            df = self.soft_bound[pred]
+            df = self.numbered[pred]
             cols = [en.convert(F.col(f"`{f.name}`").cast("bigint") if isinstance(f.dataType, T.IntegralType) else F.col(f"`{f.name}`"), en.INT if isinstance(f.dataType, T.IntegralType) else en.SYM, k).alias(c) for f, k, c in zip(df.schema.fields, self.kinds[pred], columns(self.arity[pred]))]
-            out.append(df.select(*cols, F.array(F.col(f"`{df.columns[self.arity[pred]]}`").cast("bigint")).alias("pf")))
+            out.append(df.select(*(cols or [F.lit(0).alias("unit")]), F.array("leaf").alias("pf")))
         return out
 
     # --- one rule
@@ -370,17 +384,19 @@ class Run:
         k = self.checked.modes.get(pred)
         if k is not None:
             order = Window.partitionBy(*keys).orderBy(F.desc("_p"), F.asc("pf"))
-            kept = kept.withColumn("_p", self.weight(F.col("pf"))).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_p", "_n")
+            kept = self.weighed(pred, kept).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_p", "_n")
         return kept
 
-    def weight(self, proof: Column) -> Column:
-        p = [s.p for s in self.checked.soft]
-
-        @F.pandas_udf("double")
-        def weigh(column: pd.Series) -> pd.Series:
-            return column.map(lambda x: pf.weight([int(v) for v in x], p)).astype(float)
-
-        return weigh(proof)
+    def weighed(self, pred: str, df: DataFrame) -> DataFrame:
+        """``df`` with ``_p``, the product of its proof's leaves."""
+        if not self.numbered:
+            p = F.array(*[F.lit(float(s.p)) for s in self.checked.soft])
+            factor = lambda w, x: w * F.when(x > 0, F.get(p, F.abs(x).cast("int") - 1)).otherwise(1 - F.get(p, F.abs(x).cast("int") - 1))
+            return df.withColumn("_p", F.aggregate("pf", F.lit(1.0), factor))
+        keys = [*self.keys(pred), "pf"]
+        each = df.select(*keys, F.explode_outer("pf").alias("_x")).withColumn("leaf", F.abs("_x")).join(self.leaves, "leaf", "left")
+        factor = F.when(F.col("_x").isNull(), 1.0).when(F.col("_x") > 0, F.col("p")).otherwise(1 - F.col("p"))
+        return each.groupBy(*keys).agg(F.product(factor).alias("_p"))
 
     # --- layers
 
@@ -566,6 +582,9 @@ def marginals(run: Run, pred: str) -> DataFrame:
             weight = weight * F.when(F.expr(f"(shiftright(world, {i}) & 1) = 1"), F.lit(x)).otherwise(F.lit(1 - x))
         return relation.groupBy(*keys).agg(F.sum(weight).alias("p")).where("p > 0")
 
+    if run.numbered:
+        return counted(run, relation, keys)
+
     @F.pandas_udf("double")
     def count(column: pd.Series) -> pd.Series:
         return column.map(lambda own: circuits.compile_exact([[int(v) for v in x] for x in own]).count(p)).astype(float)
@@ -573,6 +592,38 @@ def marginals(run: Run, pred: str) -> DataFrame:
     return relation.groupBy(*keys).agg(F.collect_list("pf").alias("pf")).select(*keys, count("pf").alias("p"))
 
 
+def counted(run: Run, relation: DataFrame, keys: list[str]) -> DataFrame:
+    """Tuples with ``p``, where leaves' probabilities are a table: each tuple gets those of its own proofs."""
+    used = relation.select(*keys, F.explode("pf").alias("x")).select(*keys, F.abs("x").alias("leaf")).distinct().join(run.leaves, "leaf")
+    chances = used.groupBy(*keys).agg(F.collect_list(F.struct("leaf", "p")).alias("chances"))
+    both = relation.groupBy(*keys).agg(F.collect_list("pf").alias("pf")).join(chances, keys, "left")
+
+    @F.pandas_udf("double")
+    def count(proofs: pd.Series, leaves: pd.Series) -> pd.Series:
+        out = []
+        for own, known in zip(proofs, leaves):
+            known = [] if known is None else list(known)
+            place = {int(x["leaf"]): i + 1 for i, x in enumerate(known)}
+            renamed = [[place[abs(int(v))] * (1 if v > 0 else -1) for v in x] for x in own]
+            out.append(circuits.compile_exact(renamed).count([float(x["p"]) for x in known]))
+        return pd.Series(out, dtype=float)
+
+    return both.select(*keys, count("pf", "chances").alias("p"))
+
+
+def world_gradients(run: Run, pred: str) -> DataFrame:
+    """Tuples with ``p`` and ``grad`` from all worlds: a world's weight, and its derivative by every leaf."""
+    relation, keys, p = run.relations[pred], columns(run.arity[pred]), [s.p for s in run.checked.soft]
+    if pred not in run.soft_preds:
+        return relation.select(*keys, F.lit(1.0).alias("p"), F.array(*[F.lit(0.0) for _ in p]).cast("array<double>").alias("grad"))
+    on = [F.expr(f"(shiftright(world, {i}) & 1) = 1") for i in range(len(p))]
+    factors = [F.when(c, F.lit(float(x))).otherwise(F.lit(float(1 - x))) for c, x in zip(on, p)]
+    product = lambda parts: functools.reduce(lambda a, b: a * b, parts, F.lit(1.0))
+    slopes = [F.when(c, 1.0).otherwise(-1.0) * product(factors[:i] + factors[i + 1 :]) for i, c in enumerate(on)]
+    sums = relation.groupBy(*keys).agg(F.sum(product(factors)).alias("p"), *[F.sum(x).alias(f"g{i}") for i, x in enumerate(slopes)])
+    return sums.select(*keys, "p", F.array(*[f"g{i}" for i in range(len(p))]).alias("grad"))
+
+
 def gradients(run: Run, pred: str) -> DataFrame:
     """Tuples with ``p`` and ``grad``, the derivative by every leaf's probability, from captured proofs."""
     keys = columns(run.arity[pred])

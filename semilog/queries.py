@@ -247,6 +247,30 @@ def prob_soft_aggregate(spark, sf_dir):
     return found.groupBy(F.col("c0").alias("n")).agg(F.round(F.sum(F.col("c1") * F.col("p")), 6).alias("expected"))
 
 
+@query(f"with nation_region as ({duck('nation_region')}), leaf as (select * from (values (1, 3, 0.25), (2, 7, 0.5), (3, 11, 0.125), (4, 7, 0.5)) v(i, n, p)), own as (select r, i, p from nation_region join leaf using (n)) select g.r, cast(l.i as bigint) as leaf, round(cast(case when exists (select 1 from own o where o.r = g.r and o.i = l.i) then coalesce((select product(1 - o.p) from own o where o.r = g.r and o.i <> l.i), 1) else 0 end as double), 9) as slope from (select distinct r from own) g, leaf l")
+def grad_worlds(spark, sf_dir):
+    """Gradients of a predicate without captured proofs, by worlds over a bound table."""
+    p = program(SOFT + "pred q(int): Bool. q(R) :- nation_region(N, R), risky(N).", spark, sf_dir, "nation_region")
+    rows = [(r, i + 1, round(g, 9)) for (r,), _, grad in p.grad_query("q") for i, g in enumerate(grad)]
+    return spark.createDataFrame(rows, "r long, leaf long, slope double")
+
+
+@query(f"with nation_region as ({duck('nation_region')}) select r, round(cast(1 - product(1 - (n + 1) / 50.0) as double), 9) as p from nation_region group by r")
+def soft_table(spark, sf_dir):
+    """A table's rows as soft facts with a probability each."""
+    p = program(DOMAINS + "pred shaky(int): Bool. pred q(int): Bool. q(R) :- nation_region(N, R), shaky(N).", spark, sf_dir, "nation_region")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint"), ((F.col("n_nationkey") + 1) / 50).alias("p"))
+    return rounded(p.bind("shaky", nations).marginal_frame(spark, "q"), "r", "p")
+
+
+@query(f"with cust_nation as ({duck('cust_nation')}) select c, round(cast(case n when 3 then 0.25 when 7 then 0.75 else 0.125 end as double), 9) as p from cust_nation where n in (3, 7, 11) and c <= 50")
+def prob_bound(spark, sf_dir):
+    """Probabilities asked of a program over a bound table."""
+    p = program(SOFT + "pred few(int): Bool. pred q(int): Prov. q(C) :- cust_nation(C, N), risky(N).", spark, sf_dir, "cust_nation")
+    rows = [(c, round(x, 9)) for (c,), x in p.prob_query("q") if c <= 50]
+    return spark.createDataFrame(rows, "c long, p double")
+
+
 # --- terms
 
 TERMS = "@terms. domain d. pred nation_name(int, d): Bool. pred nation_region(int, int): Bool.\n"

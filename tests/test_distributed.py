@@ -158,3 +158,31 @@ def test_plans_keep_joins_native(spark):
     df = api.compile("pred e(int, int): Bool. pred q(int, int): Bool. q(X, Z) :- e(X, Y), e(Y, Z).").bind("e", edges).frames(spark)["q"]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Cartesian" not in plan and "Python" not in plan
+
+
+SOFT_PATHS = "domain d. pred edge(d, d): Bool. pred sure(d, d): Bool. pred path(d, d): {kind}. path(X, Y) :- edge(X, Y). path(X, Y) :- sure(X, Y). path(X, Z) :- path(X, Y), edge(Y, Z). 0.5 :: edge(a, b). 0.25 :: edge(b, c). 0.5 :: edge(a, c)."
+
+
+@pytest.mark.parametrize("kind", ["Bool", "Prov_k(9)", "Prov_k(1)"])
+def test_questions_to_bound_programs(spark, kind):
+    """Asked over bound DataFrames, a program answers as it does with the same facts inline."""
+    inline = api.compile(SOFT_PATHS.format(kind=kind) + " sure(c, d).")
+    bound = api.compile(SOFT_PATHS.format(kind=kind)).bind("sure", spark.createDataFrame([("c", "d")], "x string, y string"))
+    for pattern in (None, ("a", None), ("z", None)):
+        a, b = inline.grad_query("path", pattern), bound.grad_query("path", pattern)
+        assert [x for x, *_ in a if _[0] > 0] == [x for x, *_ in b] and all(p == pytest.approx(q) and g == pytest.approx(h) for (_, p, g), (_, q, h) in zip([x for x in a if x[1] > 0], b))
+        assert [x for x, _ in inline.prob_query("path", pattern)] == [x for x, _ in bound.prob_query("path", pattern)]
+    if kind != "Bool":
+        assert {p: sorted((row, sorted(x)) for row, x in rows) for p, rows in inline.provenance().items()} == {p: sorted((row, sorted(x)) for row, x in rows) for p, rows in bound.provenance().items()}
+
+
+def test_soft_facts_of_a_table(spark):
+    source = "domain d. pred edge(d, d): Bool. pred path(d, d): {kind}. path(X, Y) :- edge(X, Y). path(X, Z) :- path(X, Y), edge(Y, Z)."
+    rows = [("a", "b", 0.5), ("b", "c", 0.25), ("a", "c", 0.5), ("a", "c", 0.5), ("c", "a", 0.125)]
+    inline = api.compile(source.format(kind="Prov_k(9)") + " ".join(f"{p} :: edge({x}, {y})." for x, y, p in rows))
+    table = spark.createDataFrame(rows, "x string, y string, p double")
+    got = api.compile(source.format(kind="Prov_k(9)")).bind("edge", table).prob_query("path")
+    want = inline.prob_query("path")
+    assert [x for x, _ in got] == [x for x, _ in want] and [p for _, p in got] == pytest.approx([p for _, p in want])
+    best = api.compile(source.format(kind="Prov_k(1)")).bind("edge", table).prob_query("path", ("a", "c"))
+    assert best == [(("a", "c"), pytest.approx(0.5))]
