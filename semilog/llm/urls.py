@@ -4,8 +4,9 @@ Rules (host, path, verdict) decide where one fits: the rule's host is the url's
 url's path starts with the rule's; the longest fitting rule wins. All other urls are judged by templates learned per
 host from labelled urls:
 
-1. The path's segments are a branch of the host's tree. Level by level a segment becomes a wildcard if it has a digit
-   or holds less than ``SHARE`` of the urls below its parent; below ``LEVELS`` levels all is one wildcard ``**``.
+1. The path's segments (those that aren't empty) are a branch of the host's tree. Level by level a segment becomes a
+   wildcard if it has a digit or holds less than ``SHARE`` of the urls below its parent, at any depth. There are as
+   many rounds as levels at which different paths of a host share a template; what is below takes no more.
 2. Branches with the same parent template are alike if their share of bad labels lies within ``Z`` standard errors of
    the parent's; alike branches are merged and share their labels. A branch without labels merges with none.
 3. A template's purity is its share of bad labels, smoothed by ``PRIOR`` labels of either kind in equal parts; from
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from semilog.llm.common import materialise
 
-LEVELS, SHARE, Z, PRIOR, PURITY = 4, 0.1, 1.96, 4.0, 0.8
+SHARE, Z, PRIOR, PURITY = 0.1, 1.96, 4.0, 0.8
 #: (rule, verdict) of the query, in the order in which the contract names them.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,22 +56,32 @@ def fitting_rule(host: Column, path: Column, rules) -> Column:
 
 def templates(paths: DataFrame) -> DataFrame:
     """``paths`` (host, path, n, labelled, bad; a row for each host and path) with ``parent`` and ``template``."""
-    rows = paths.withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
-    for level in range(1, LEVELS + 1):
-        rows = rows.withColumn("_segment", F.split_part("path", F.lit("/"), F.lit(level + 1)))
-        held = rows.where("_segment != ''").groupBy("host", "template", "_segment").agg(F.sum("n").alias("_n"))
-        total = held.groupBy("host", "template").agg(F.sum("_n").alias("_all"))
-        named = held.join(total, ["host", "template"]).select("host", "template", "_segment", F.when((F.translate("_segment", "0123456789", "") != F.col("_segment")) | (F.col("_n") < SHARE * F.col("_all")), "*").otherwise(F.col("_segment")).alias("_name"))
-        rows = rows.join(named, ["host", "template", "_segment"], "left")
-        grown = F.col("_name").isNotNull()
-        rows = rows.select(
+    has_digit = lambda c: F.translate(c, "0123456789", "") != c
+    segments = F.filter(F.split("path", "/"), lambda s: s != "")
+    rows = paths.select("*", F.lit("").alias("parent"), F.lit("").alias("template"), segments.alias("_rest"))
+    done = []
+    while True:
+        ended = F.size("_rest") == 0
+        done.append(rows.where(ended).drop("_rest"))
+        rows = rows.where(~ended)
+        if rows.isEmpty():
+            return functools.reduce(DataFrame.union, done)
+        rows = rows.withColumn("_segment", F.col("_rest")[0])
+        held = rows.groupBy("host", "template", "_segment").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
+        total = held.groupBy("host", "template").agg(F.sum("_n").alias("_all"), F.sum("_k").alias("_paths"))
+        wild = has_digit(F.col("_segment")) | (F.col("_n") < SHARE * F.col("_all"))
+        named = held.join(total, ["host", "template"]).select("host", "template", "_segment", F.when(wild, "*").otherwise(F.col("_segment")).alias("_name"), (F.col("_paths") == 1).alias("_alone"))
+        # A path alone in its branch holds all of the branch's urls at every level below, so it ends here.
+        names = F.transform("_rest", lambda s: F.when(has_digit(s), "*").otherwise(s))
+        joined = lambda c: F.when(F.size(c) > 0, F.concat(F.lit("/"), F.array_join(c, "/"))).otherwise("")
+        alone = F.col("_alone")
+        rows = rows.join(named, ["host", "template", "_segment"]).select(
             *paths.columns,
-            F.when(grown, F.col("template")).otherwise(F.col("parent")).alias("parent"),
-            F.when(grown, F.concat("template", F.lit("/"), "_name")).otherwise(F.col("template")).alias("template"),
+            F.when(alone, F.concat("template", joined(F.slice(names, 1, F.size("_rest") - 1)))).otherwise(F.col("template")).alias("parent"),
+            F.when(alone, F.concat("template", joined(names))).otherwise(F.concat("template", F.lit("/"), "_name")).alias("template"),
+            F.when(alone, F.slice("_rest", 1, 0)).otherwise(F.slice("_rest", 2, F.size("_rest"))).alias("_rest"),
         )
-        rows = materialise(rows, f"level-{level}")  # each level reads the last one three times
-    deep = F.split_part("path", F.lit("/"), F.lit(LEVELS + 2)) != ""
-    return rows.withColumn("parent", F.when(deep, F.col("template")).otherwise(F.col("parent"))).withColumn("template", F.when(deep, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        rows = materialise(rows, f"level-{len(done)}")  # each level reads the last one three times
 
 
 def purities(rows: DataFrame) -> DataFrame:
@@ -117,21 +128,15 @@ def oracle() -> str:
     """The report in DuckDB's SQL, over the view ``pages``."""
     when = " ".join(f"when (host = '{r.partition('/')[0]}' or ends_with(host, '.{r.partition('/')[0]}')) and starts_with(path, '/{r.partition('/')[2]}') then '{r}'" for r, _ in sorted(RULES, key=lambda r: -len(r[0])))
     blocks = ", ".join(f"'{r}'" for r, v in RULES if v == "block")
-    sql = f"""with rest as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+    return f"""with recursive rest as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
  hosts as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from rest),
  split as (select page_id, translate(raw, '{UPPER}', '{LOWER}') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from hosts),
  ruled as (select *, case {when} end as rule from split),
  labelled as (select *, case when rule is null then null when rule in ({blocks}) then 1 else 0 end as label from ruled),
- t0 as (select host, path, count(*) as n, count(label) as labelled, coalesce(sum(label), 0) as bad, '' as parent, '' as template from labelled group by host, path)"""
-    for i in range(1, LEVELS + 1):
-        sql += f""",
- s{i} as (select *, split_part(path, '/', {i + 1}) as seg from t{i - 1}),
- c{i} as (select *, sum(n) over (partition by host, template, seg) as own, sum(case when seg <> '' then n else 0 end) over (partition by host, template) as every from s{i}),
- t{i} as (select host, path, n, labelled, bad, case when seg <> '' then template else parent end as parent,
-   case when seg = '' then template when translate(seg, '0123456789', '') <> seg or own < {SHARE} * every then template || '/*' else template || '/' || seg end as template from c{i})"""
-    return sql + f""",
- deep as (select host, path, labelled, bad, case when split_part(path, '/', {LEVELS + 2}) <> '' then template else parent end as parent,
-   case when split_part(path, '/', {LEVELS + 2}) <> '' then template || '/**' else template end as template from t{LEVELS}),
+ grown as (select host, path, count(*) as n, count(label) as labelled, coalesce(sum(label), 0) as bad, '' as parent, '' as template, list_filter(string_split(path, '/'), lambda s: s <> '') as rest from labelled group by host, path
+  union all select host, path, n, labelled, bad, template, template || '/' || case when translate(rest[1], '0123456789', '') <> rest[1]
+    or sum(n) over (partition by host, template, rest[1]) < {SHARE} * sum(n) over (partition by host, template) then '*' else rest[1] end, rest[2:] from grown where len(rest) > 0),
+ deep as (select * from grown where len(rest) = 0),
  own as (select host, parent, template, sum(labelled) as labelled, sum(bad) as bad from deep group by all),
  shares as (select *, sum(labelled) over w as l, sum(bad) over w as b from own window w as (partition by host, parent)),
  alike as (select *, labelled > 0 and abs(bad / labelled - b / l) <= {Z} * sqrt((b / l) * (1 - b / l) / labelled) as alike from shares),

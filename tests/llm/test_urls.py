@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from semilog.llm import urls
 
-ODD = [None, "", "no scheme", "http://", "HTTP://A.Example.COM", "x://Ä.com/en/1", "http://a.com/en/7?q=/en/", "http://a.com?x", "http://a.com#/en/", "http://example.com/en/70", "http://www.example.com/en/71", "http://xexample.com/en/7", "http://com/en/", "http://a.net/de/8", "http://b.example.net/de/8/x", "a://b://c.org/es/", "http://c.org/es", "http://c.org//es/", "http://c.org/a/b/c/d/e/f/g", "http://c.org/a/b/c/d/"]
+ODD = [None, "", "no scheme", "http://", "HTTP://A.Example.COM", "x://Ä.com/en/1", "http://a.com/en/7?q=/en/", "http://a.com?x", "http://a.com#/en/", "http://example.com/en/70", "http://www.example.com/en/71", "http://xexample.com/en/7", "http://com/en/", "http://a.net/de/8", "http://b.example.net/de/8/x", "a://b://c.org/es/", "http://c.org/es", "http://c.org//es/", "http://c.org/a/b/c/d/e/f/g", "http://c.org/a/b/c/d/", "http://c.org/a/b/c/d/e/f/h", "http://c.org//a//b/9/d/e/f/h/i/j9"]
 
 
 def pages(spark, given):
@@ -51,6 +51,18 @@ def test_templates(spark):
     assert got["/item/3/view"] == "/item/*/view" and got["/user/nameaa"] == "/user/*" and got["/about"] == "/about"
 
 
+def test_templates_at_any_depth(spark):
+    deep = "/".join("abcdefghij")
+    given = [f"http://h.x/{deep}/{i}/end" for i in range(12)] + [f"http://h.x/{deep}/more"] * 12 + ["http://h.x//k//1/z/" + "w/" * 500]
+    got = {r.path: r.template for r in urls.judge(pages(spark, given)).collect()}
+    assert got[f"/{deep}/3/end"] == f"/{deep}/*/end" and got[f"/{deep}/more"] == f"/{deep}/more"
+    assert got["//k//1/z/" + "w/" * 500] == "/*/*/z" + "/w" * 500  # k holds a twenty-fifth, and is alone from there on
+    bad = [(f"http://h.x/{deep}/{i}", 1) for i in range(12)] + [(f"http://h.x/{deep}/k{chr(97 + i)}/x", 0) for i in range(12)] + [(f"http://h.x/{deep}/99", None)]
+    df = spark.createDataFrame([(i, u, v) for i, (u, v) in enumerate(bad)], "page_id long, url string, v int")
+    got = {r.page_id: r.verdict for r in urls.judge(df, rules=(), label=F.col("v")).collect()}
+    assert got[24] == "block" and got[12] == "allow"
+
+
 def test_purity_rejects_templates(spark):
     bad = [(f"http://h.x/spam/{i}", 1) for i in range(20)] + [(f"http://h.x/spam/{i}", None) for i in range(20, 30)]
     good = [(f"http://h.x/news/{i}", 0) for i in range(20)] + [(f"http://h.x/news/{i}", None) for i in range(20, 30)]
