@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semilog.asp import solve as asp
 from semilog.asp.ground import Constraint
@@ -52,12 +53,12 @@ class Program:
     def bind(self, pred: str, df: DataFrame) -> Program:
         """A predicate's tuples from a DataFrame of any size: its arguments in order, then a Trop predicate's weight.
 
-        One more column, of a Bool predicate, is the probability of each row as a soft fact of its own.
+        One more column of fractions, of a Bool predicate, is the probability of each row as a soft fact of its own.
         """
         decl = self.decl(pred)
         trop = decl.annotation.kind == "trop"
         wanted = len(decl.args) + trop
-        if not trop and len(df.columns) == wanted + 1:
+        if not trop and len(df.columns) == wanted + 1 and isinstance(df.schema.fields[-1].dataType, T.FractionalType):
             self.soft_bound[pred] = df
         elif len(df.columns) == wanted:
             self.bound[pred] = df
