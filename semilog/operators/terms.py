@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semilog import api
+from semilog.storage import written
 
 
 class DepthExceeded(ValueError):
@@ -73,12 +74,16 @@ def insert_maximal(store: list, new) -> bool:
 def intern_dense(df: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column with dense numbers ``id`` from 0 in their order.
 
-    Values are range-partitioned and sorted; a value's number is its place in its partition plus the sizes of the
-    partitions before, of which the driver holds one number each.
+    Values are range-partitioned, sorted and written; a value's number is its place in its partition plus the sizes of
+    the partitions before, a table of one row for each partition.
     """
     values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-    numbered = values.orderBy("value").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return values.sparkSession.createDataFrame(numbered, f"value {values.schema['value'].dataType.simpleString()}, id bigint")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(values.repartitionByRange("value").sortWithinPartitions("value").select("value", F.spark_partition_id().alias("part"), place.alias("place")), "interned")
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("start"))
+    return placed.join(F.broadcast(starts), "part").select("value", (F.col("start") + F.col("place")).alias("id"))
 
 
 POINTS_TO = """

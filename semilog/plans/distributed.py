@@ -70,6 +70,7 @@ class Run:
                 raise TooManySoftFacts(f"{len(checked.soft)} soft facts; worlds are enumerated up to {MAX_SOFT}")
             self.worlds = spark.range(1 << len(checked.soft)).select(F.col("id").alias("world"))
         self.relations: dict[str, DataFrame] = {}
+        self.bags: dict[str, tuple[int, DataFrame]] = {}
 
     # --- relations from outside
 
@@ -164,6 +165,17 @@ class Run:
 
     # --- one rule
 
+    def read_as_bag(self, rule: t.Rule, positive: list[int], source: dict[int, DataFrame]) -> int | None:
+        """The body's atom whose facts are read with their repeats: the largest.
+
+        Repeats of one atom multiply bindings by no more than the file holds them, and its distinct rows needn't be
+        shuffled for; repeats of two would multiply each other. Aggregates read sets.
+        """
+        own = [i for i in positive if i not in source and rule.body[i].atom.pred in self.bags]
+        if aggregates(rule.head) or not own:
+            return None
+        return max(own, key=lambda i: (self.bags[rule.body[i].atom.pred][0], -i))
+
     def storages(self, rule: t.Rule) -> dict[str, str]:
         """How each variable is stored in the rule."""
         seen: dict[str, set[str]] = {}
@@ -221,9 +233,10 @@ class Run:
         if aggregates(rule.head):
             wanted |= set(storages)  # aggregates fold over full bindings
         df, notes = None, []
+        bag = self.read_as_bag(rule, positive, source)
         for at, i in enumerate(positive):
             atom = rule.body[i].atom
-            own = self.matched(atom, source.get(i, self.relations.get(atom.pred)), storages, i)
+            own = self.matched(atom, self.bags[atom.pred][1] if i == bag else source.get(i, self.relations.get(atom.pred)), storages, i)
             if self.extra(atom.pred) not in ([], ["world"]):
                 notes.append(f"x_{i}")
             if df is None:
@@ -235,6 +248,8 @@ class Run:
             if not shared:
                 df = df.crossJoin(own)
             elif all(c.startswith("u_") or c.startswith("v_") and c[2:] not in later for c in new):
+                if i not in source and atom.pred in self.bags:  # repeats on this side change nothing
+                    own = self.matched(atom, self.bags[atom.pred][1], storages, i)
                 df = df.join(own, shared, "left_semi")
             else:
                 df = df.join(own, shared)
@@ -248,7 +263,7 @@ class Run:
 
     def without(self, df: DataFrame, atom: t.Atom, storages: dict[str, str], place: int) -> tuple[DataFrame, list[str]]:
         """``df`` under ``not atom``."""
-        relation = self.relations[atom.pred]
+        relation = self.bags[atom.pred][1] if atom.pred in self.bags else self.relations[atom.pred]
         tests = [F.lit(True)]
         for i, a in enumerate(atom.args):
             kind = self.kinds[atom.pred][i]
@@ -334,7 +349,9 @@ class Run:
                 if not self.relations[p].where(F.size("pf") > 0).isEmpty():
                     raise SoftAggregate(f"an aggregate of `{pred}` reads soft tuples of `{p}`")
         world = [c for c in ("world",) if c in df.columns]
-        full = df.select(*[c for c in df.columns if c.startswith("v_")], *world).distinct()
+        full = df.select(*[c for c in df.columns if c.startswith("v_")], *world)
+        if self.mode == "proofs":  # else all atoms are sets and all of their variables are kept
+            full = full.distinct()
         cols, keys, place = [], [], None
         for i, (a, want) in enumerate(zip(rule.head.args, self.kinds[pred])):
             if isinstance(a, t.Agg):
@@ -420,6 +437,9 @@ class Run:
             parts = self.given(p) + [self.derived(r) for r in own if r.head.pred == p and r not in looping]
             derived = any(r.head.pred == p for r in own)
             base[p] = self.added(p, parts)
+            if parts and not derived and self.mode == "plain" and not self.extra(p):
+                bag = functools.reduce(DataFrame.union, parts)
+                self.bags[p] = int(str(bag._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), bag
             if looping or derived and p in used:
                 base[p] = written(base[p], p)
         self.relations.update(base)

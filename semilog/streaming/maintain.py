@@ -28,6 +28,7 @@ class Maintained:
         self.spark, self.checked = spark, checked
         self.facts = {p: written(functools.reduce(DataFrame.union, self.run.given(p)).distinct(), f"facts-{p}") for p in checked.decls if self.run.given(p)}
         self.relations = self.run.go()
+        self.run.bags.clear()  # facts change from here on
         for p in checked.decls:
             self.relations[p] = written(self.relations[p].distinct(), p)
 

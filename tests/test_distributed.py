@@ -186,3 +186,22 @@ def test_soft_facts_of_a_table(spark):
     assert [x for x, _ in got] == [x for x, _ in want] and [p for _, p in got] == pytest.approx([p for _, p in want])
     best = api.compile(source.format(kind="Prov_k(1)")).bind("edge", table).prob_query("path", ("a", "c"))
     assert best == [(("a", "c"), pytest.approx(0.5))]
+
+
+def test_repeated_rows_of_bound_tables(spark):
+    """Facts read with their repeats give what sets give: joins, semi-joins, negation, aggregates, recursion."""
+    source = """pred e(int, int): Bool. pred f(int, int): Bool. pred j(int, int): Bool. pred s(int): Bool. pred n(int, int): Bool.
+    pred c(int, count): Bool. pred z(int, sum): Bool. pred r(int): Bool. pred w(int, int): Trop.
+    j(X, Z) :- e(X, Y), f(Y, Z). s(X) :- e(X, Y), f(Y, _Z). n(X, Y) :- e(X, Y), not f(X, Y).
+    c(X, count<Z>) :- e(X, Y), f(Y, Z). z(X, sum<Z>) :- e(X, Y), f(Y, Z). r(1) :- e(1, _Y). r(Y) :- r(X), e(X, Y). w(X, Z) :- e(X, Y), f(Y, Z).""".replace("int, count", "int, int").replace("int, sum", "int, int")
+    r = random.Random(5)
+    pairs = [[(r.randrange(6), r.randrange(6)) for _ in range(60)] for _ in range(2)]
+    p = api.compile(source)
+    for name, rows in zip("ef", pairs):
+        p.bind(name, spark.createDataFrame(rows, "a long, b long"))
+    own = api.compile(source + "".join(f" {name}({a}, {b})." for name, rows in zip("ef", pairs) for a, b in rows))
+    want, run = local.plain(own.checked).db, p.run(spark)
+    assert set(run.bags) == {"e", "f"}
+    for pred in want:
+        got = [tuple(x)[: run.arity[pred]] for x in run.relations[pred].collect()]
+        assert sorted(got) == sorted(want[pred].rows), pred
