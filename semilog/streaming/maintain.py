@@ -16,6 +16,9 @@ from semilog.lang.checker import Checked, aggregates
 from semilog.plans.distributed import Run
 from semilog.storage import written
 
+#: Parts of a relation that are kept apart before they are written as one table.
+COMPACT = 8
+
 
 class Maintained:
     """A Bool program without negation and aggregates above changing facts; facts are DataFrames by predicate."""
@@ -29,6 +32,7 @@ class Maintained:
         self.facts = {p: written(functools.reduce(DataFrame.union, self.run.given(p)).distinct(), f"facts-{p}") for p in checked.decls if self.run.given(p)}
         self.relations = self.run.go()
         self.run.bags.clear()  # facts change from here on
+        self.apart: dict[str, int] = {}
         for p in checked.decls:
             self.relations[p] = written(self.relations[p].distinct(), p)
 
@@ -36,10 +40,22 @@ class Maintained:
         names = self.run.keys(pred)
         return df.toDF(*names).select(*(F.col(c).cast(self.relations[pred].schema[c].dataType) for c in names)).distinct()
 
+    def append(self, name: str, old: DataFrame, new: DataFrame) -> DataFrame:
+        """Both; parts stay where they are, so a change costs its own size and only rarely the relation's."""
+        self.apart[name] = self.apart.get(name, 0) + 1
+        if self.apart[name] <= COMPACT:
+            return old.union(new)
+        self.apart[name] = 0
+        return written(old.union(new), name)
+
     def insert(self, pred: str, rows: DataFrame) -> None:
         """Adds facts and all that follows."""
-        new = written(self.shaped(pred, rows), pred)
-        self.facts[pred] = written(self.facts[pred].union(new).distinct() if pred in self.facts else new, f"facts-{pred}")
+        new = self.shaped(pred, rows)
+        if pred in self.facts:
+            new = written(new.join(self.facts[pred], self.run.keys(pred), "left_anti"), pred)
+            self.facts[pred] = self.append(f"facts-{pred}", self.facts[pred], new)
+        else:
+            new = self.facts[pred] = written(new, f"facts-{pred}")
         self.again() if not self.monotone else self.grow({pred: new})
 
     def grow(self, delta: dict[str, DataFrame]) -> None:
@@ -51,7 +67,7 @@ class Maintained:
                 new = written(df.join(self.relations[p], self.run.keys(p), "left_anti"), p)
                 if not new.isEmpty():
                     fresh[p] = new
-                    self.relations[p] = written(self.relations[p].union(new), p)
+                    self.relations[p] = self.append(p, self.relations[p], new)
             found: dict[str, list[DataFrame]] = {}
             for r in self.checked.rules:
                 for i, b in enumerate(r.body):
@@ -67,16 +83,18 @@ class Maintained:
         keys = self.run.keys(pred)
         gone = written(gone.join(self.facts[pred], keys, "left_semi"), pred)
         self.facts[pred] = written(self.facts[pred].join(gone, keys, "left_anti"), f"facts-{pred}")
+        self.apart[f"facts-{pred}"] = 0
         if not self.monotone:
             self.again()
             return
         # All derivations over the old relations that touch what went.
         self.run.relations = self.relations
         out, delta = {p: None for p in self.relations}, {pred: gone}
+        self.apart = {name: n for name, n in self.apart.items() if not name.startswith("out-")}
         while delta:
             found: dict[str, list[DataFrame]] = {}
             for p, df in delta.items():
-                out[p] = df if out[p] is None else written(out[p].union(df), p)
+                out[p] = df if out[p] is None else self.append(f"out-{p}", out[p], df)
             for r in self.checked.rules:
                 for i, b in enumerate(r.body):
                     if b.atom.pred in delta:
@@ -91,6 +109,7 @@ class Maintained:
         for p, df in out.items():
             if df is not None:
                 left[p] = written(self.relations[p].join(df, self.run.keys(p), "left_anti"), p)
+                self.apart[p] = 0
         self.relations = self.run.relations = left
         # What went but is a fact, or follows from what is left, comes back with all that follows from it.
         back: dict[str, DataFrame] = {}
