@@ -4,8 +4,8 @@ import random
 import pytest
 
 from semilog import api, errors
-from semilog.asp import choice, solve
-from semilog.asp.ground import Constraint, Ground, ground
+from semilog.asp import choice, frames, solve
+from semilog.asp.ground import Constraint, Ground, GroundRule, ground
 from semilog.lang import tree as t
 from semilog.lang.diagnostics import ProgramError
 from semilog.lang.reader import read
@@ -102,3 +102,23 @@ def test_constraints_and_hints():
     first = hints.train([example], steps=1)
     assert hints.train([example], steps=20) <= first + 1e-6
     assert sorted(hints.levels(len(g.atoms), g.rules)) == list(range(len(g.atoms)))
+
+
+def test_frames_agree_with_lists(spark):
+    r = random.Random(3)
+    for _ in range(2):
+        rules = [GroundRule(r.choice([*range(12), None]), tuple(r.sample(range(12), r.randrange(3))), tuple(r.sample(range(12), r.randrange(2)))) for _ in range(25)]
+        rows = [(i, x.head, list(x.pos), list(x.neg)) for i, x in enumerate(rules)]
+        df = spark.createDataFrame(rows, "rule long, head long, pos array<bigint>, neg array<bigint>")
+        atoms = lambda found: {x.atom for x in found.collect()}
+        g = Ground(rules, [("a", (i,)) for i in range(12)], {})
+        can, sure = solve.possible_atoms(g), solve.certain(g)
+        possible = frames.possible_atoms(df)
+        assert atoms(possible) == can and atoms(frames.certain(df, possible)) == sure
+        model = set(r.sample(range(12), 8))
+        held = spark.createDataFrame([(a,) for a in model], "atom long")
+        assert atoms(frames.greatest_unfounded_set(df, held)) == solve.greatest_unfounded_set(rules, model)
+        told = {x.rule: (x.dead, list(x.pos), list(x.neg)) for x in frames.filter_rules(df, possible, frames.certain(df, possible)).collect()}
+        for i, x in enumerate(rules):
+            dead = any(a not in can for a in x.pos) or any(a in sure for a in x.neg)
+            assert told[i] == (dead, [] if dead else sorted(a for a in x.pos if a not in sure), [] if dead else sorted(a for a in x.neg if a in can))
