@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semilog import api
-from semilog.asp import choice, solve
+from semilog.asp import choice, frames, solve
 from semilog.asp import ground as asp_ground
 from semilog.lang import tree as t
 from semilog.lang.checker import check
 from semilog.lang.reader import read
+from semilog.functions import circuits
 from semilog.operators import graphs, neural, terms
-from semilog.plans import distributed, magic, planner
+from semilog.plans import distributed, local, magic, planner
+from semilog.sources import text
+from semilog.storage import scratch
 from semilog.streaming.maintain import Maintained, follow
 from semilog.streaming.proofs import MaintainedProofs
 
@@ -444,3 +447,160 @@ def stream_maintain(spark, sf_dir):
 
     follow(kept, "seen", stream, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").awaitTermination()
     return named(kept.relations["q"], "a", "b")
+
+
+@query(with_("parent", recursive=CLOSURE) + "select x, y from anc")
+def stream_tc(spark, sf_dir):
+    """Edges as a stream of several micro-batches that maintain a recursive relation."""
+    edges = relation(spark, sf_dir, "parent")
+    path, schema = scratch(spark, "edges"), edges.schema
+    edges.repartition(4).write.parquet(path)
+    kept = Maintained(spark, api.compile(ANC).checked, {"parent": edges.limit(0)})
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    follow(kept, "parent", stream, scratch(spark, "stream")).awaitTermination()
+    return named(kept.relations["anc"], "x", "y")
+
+
+@query(f"with nation_region as ({duck('nation_region')}), left_ as (select * from nation_region where n % 3 <> 0) select r, cast(count(*) as bigint) as proofs, round(cast(1 - product(1 - (n + 1) / 50.0) as double), 9) as p from left_ group by r")
+def incprov_regions(spark, sf_dir):
+    """Proofs of regions after a nation's soft fact came for every row, and every third went again."""
+    rows = sorted(map(tuple, relation(spark, sf_dir, "nation_region").collect()))
+    facts = " ".join(f"place({n}, {r})." for n, r in rows)
+    kept = MaintainedProofs(api.compile(f"pred place(int, int): Bool. pred shaky(int): Bool. pred hit(int): Prov. hit(R) :- place(N, R), shaky(N). {facts}").checked)
+    leaves = {n: kept.insert_soft("shaky", (n,), (n + 1) / 50) for n, _ in rows}
+    for n, leaf in leaves.items():
+        if n % 3 == 0:
+            kept.delete_soft(leaf)
+    p = [s.p for s in kept.checked.soft]
+    found = [(r, len(own), round(circuits.compile_exact(own).count(p), 9)) for (r,), own in kept.proofs("hit").items()]
+    return spark.createDataFrame(found, "r long, proofs long, p double")
+
+
+# --- files and text
+
+FILES = "domain d. pred nation_name(int, d): Bool. pred weighted(int, int): Trop. pred q(int): Trop. q(X) :- weighted(X, _Y)."
+
+
+def text_file(df: DataFrame, kind: str) -> str:
+    """A new folder of text files in one of the formats, by Spark's writer of lines."""
+    path = f"{scratch(df.sparkSession, 'facts')}.{kind}"
+    cells = [F.col(c).cast("string") for c in df.columns]
+    if kind == "json":
+        cells = [F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2) for c in df.columns]
+    line = F.concat_ws({"tsv": "\t", "csv": ",", "json": ","}[kind], *cells)
+    df.select(F.concat(F.lit("["), line, F.lit("]")) if kind == "json" else line).write.text(path)
+    return path
+
+
+@query(with_("nation_name") + "select kind, n, name from nation_name, (values ('tsv'), ('csv'), ('json')) k(kind)")
+def source_files(spark, sf_dir):
+    """Typed facts read from each of the file formats."""
+    parts = []
+    for kind in ("tsv", "csv", "json"):
+        p = api.compile(FILES).bind_file(spark, "nation_name", text_file(relation(spark, sf_dir, "nation_name"), kind))
+        parts.append(named(p.frames(spark)["nation_name"], "n", "name").withColumn("kind", F.lit(kind)))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(with_("weighted") + "select x, min(w) as w from weighted group by x")
+def source_weights(spark, sf_dir):
+    """A Trop predicate's facts with their weights from a file."""
+    p = api.compile(FILES).bind_file(spark, "weighted", text_file(relation(spark, sf_dir, "weighted"), "tsv"))
+    return named(p.frames(spark)["q"], "x", "w")
+
+
+@query(with_("nation_region") + "select r, round(cast(1 - product(1 - (n + 1) / 50.0) as double), 9) as p from nation_region group by r")
+def source_neural(spark, sf_dir):
+    """A neural predicate's facts with their probabilities from a file."""
+    p = program('domain d. pred nation_name(int, d): Bool. pred nation_region(int, int): Bool. neural shaky(d) from model "m". pred hit(int): Bool. hit(R) :- nation_region(N, R), nation_name(N, M), shaky(M).', spark, sf_dir, "nation_region", "nation_name")
+    chances = relation(spark, sf_dir, "nation_name").select("name", ((F.col("n") + 1) / 50).alias("p"))
+    return rounded(p.bind_file(spark, "shaky", text_file(chances, "csv")).marginal_frame(spark, "hit"), "r", "p")
+
+
+@query(with_("nation_region") + "select 'place(' || n || ', ' || r || ')' as line from nation_region union all select 'dear(' || r || ') = ' || min(n) from nation_region group by r")
+def sink_relations(spark, sf_dir):
+    """A small program's relations as text, weights behind Trop rows; facts with weights are part of the program."""
+    rows = sorted(map(tuple, relation(spark, sf_dir, "nation_region").collect()))
+    p = api.compile("pred place(int, int): Bool. pred dear(int): Trop. " + " ".join(f"place({n}, {r}). {n} :: dear({r})." for n, r in rows))
+    lines = text.relations(p.checked, local.plain(p.checked)).splitlines()
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+# --- negation with rows on both sides
+
+for spec in (
+    ("neg_anti_rows", "pred has(int): Bool. pred q(int, int): Bool. has(X) :- parent(X, _Y). q(C, N) :- cust_nation(C, N), not has(C).", ("parent", "cust_nation"), ("c", "n"), with_("parent", "cust_nation") + "select c, n from cust_nation where c not in (select x from parent)"),
+    ("neg_nullary_held", "pred any_size(): Bool. pred no_size(): Bool. pred q(int, int): Bool. any_size() :- part_size(_P, _Z). no_size() :- part_size(_P, 99999). q(P, 1) :- part_brand(P, _B), not any_size(). q(P, 2) :- part_brand(P, _B), not no_size().", ("part_size", "part_brand"), ("p", "side"), with_("part_size", "part_brand") + "select p, cast(2 as bigint) as side from part_brand"),
+):
+    answer(DOMAINS + spec[1], spec[2], "q", spec[3], spec[4], spec[0])
+
+
+# --- ground rules as tables: customers follow from their parent, unless their nation is 7; 2,000,000 + nation are facts
+
+
+def ground_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules ``y :- x, not y's nation = 7``, the root and the nation as facts, and customers of nation 5 that hold each
+    other up in a circle (3,000,000 + customer)."""
+    edges = relation(spark, sf_dir, "parent").join(relation(spark, sf_dir, "cust_nation").withColumnRenamed("c", "y"), "y")
+    none, one = F.array().cast("array<bigint>"), lambda c: F.array(c.cast("bigint"))
+    nation = F.col("n") + 2_000_000
+    steps = edges.select("y", F.col("y").alias("head"), one(F.col("x")).alias("pos"), one(nation).alias("neg"))
+    loops = edges.where("n = 5").select(F.col("y") + 3_000_000, F.col("y") + 3_000_000, one(F.col("y") + 3_000_000), none)
+    facts = spark.createDataFrame([(1, 1), (2_000_007, 2_000_007)], "rule long, head long").select("rule", "head", none, none)
+    return steps.union(loops).union(facts).toDF("rule", "head", "pos", "neg")
+
+
+STEPS = f"parent as ({duck('parent')}), cust_nation as ({duck('cust_nation')}), steps as (select x, y, n from parent join cust_nation on c = y), atoms as (select y as atom from steps union select 1 union select 2000007 union select 3000000 + y from steps where n = 5), reach(y) as (select 1 union select s.y from reach r join steps s on s.x = r.y where s.n <> 7)"
+
+
+@query(f"with recursive {STEPS} select atom, atom = 2000007 or atom in (select y from reach) as founded from atoms")
+def asp_founded(spark, sf_dir):
+    """Founded and unfounded atoms of a model with all atoms."""
+    rules = ground_rules(spark, sf_dir)
+    model = rules.select(F.col("head").alias("atom")).distinct()
+    loose = frames.greatest_unfounded_set(rules, model)
+    return frames.founded_set(rules, model).withColumn("founded", F.lit(True)).union(loose.withColumn("founded", F.lit(False)))
+
+
+@query(f"with recursive {STEPS}, sure as (select y as atom from reach union select 2000007) select cast(y as bigint) as rule, n = 7 as dead, case when n = 7 or x in (select atom from sure) then '' else cast(x as varchar) end as pos, '' as neg from steps union all select 3000000 + y, true, '', '' from steps where n = 5 union all select atom, false, '', '' from (values (1), (2000007)) v(atom)")
+def asp_filter(spark, sf_dir):
+    """Rules simplified by what is possible and what is certain."""
+    rules = ground_rules(spark, sf_dir)
+    can = frames.possible_atoms(rules)
+    found = frames.filter_rules(rules, can, frames.certain(rules, can))
+    return found.select("rule", "dead", F.array_join("pos", ",").alias("pos"), F.array_join("neg", ",").alias("neg"))
+
+
+# --- terms and circuits over a table's rows
+
+
+@query(with_("nation_region") + "select 'terms' as what, cast((select count(*) from (select n from nation_region union select r from nation_region)) + 2 * count(distinct (n, r)) as bigint) as k from nation_region union all select 'deepest', cast(2 as bigint)")
+def terms_interned(spark, sf_dir):
+    """Terms ``up(at(n, r))`` of all rows, interned twice: equal ones share a number."""
+    table = terms.TermTable()
+    rows = sorted(map(tuple, relation(spark, sf_dir, "nation_region").collect()))
+    numbers = [table.intern(("up", ("at", n, r))) for n, r in rows * 2]
+    return spark.createDataFrame([("terms", table.stats()["terms"]), ("deepest", max(map(table.depth, numbers)))], "what string, k long")
+
+
+@query(with_("nation_region") + "select case when r = 0 then null else n end as n, r from nation_region group by all")
+def terms_maximal(spark, sf_dir):
+    """The most general of the terms ``at(n, r)`` and ``at(_, 0)``."""
+    store: list = []
+    for n, r in sorted(map(tuple, relation(spark, sf_dir, "nation_region").collect())):
+        terms.insert_maximal(store, ("at", n, r))
+    terms.insert_maximal(store, ("at", ("?", "X"), 0))
+    return spark.createDataFrame([(None if type(n) is tuple else n, r) for _, n, r in store], "n long, r long")
+
+
+@query(with_("nation_region") + ", own as (select r, (n + 1) / 50.0 as p, row_number() over (partition by r order by n desc) as place from nation_region) select r, round(cast(1 - product(1 - p) as double), 9) as exact, round(cast(1 - product(case when place <= 2 then 1 - p else 1 end) as double), 9) as best, round(cast(sum(case when place <= 2 then p else 0 end) as double), 9) as total from own group by r")
+def circuits_regions(spark, sf_dir):
+    """Regions' proofs by one nation each: the exact count, the count of the two likeliest, and their sum."""
+    by_region: dict[int, list[int]] = {}
+    for n, r in sorted(map(tuple, relation(spark, sf_dir, "nation_region").collect())):
+        by_region.setdefault(r, []).append(n)
+    rows = []
+    for r, nations in by_region.items():
+        p, own = [(n + 1) / 50 for n in nations], [[i + 1] for i in range(len(nations))]
+        rows.append((r, *(round(x, 9) for x in (circuits.count(list(map(frozenset, own)), p), circuits.top_circuit(own, 2, p).count(p), circuits.top_sum(list(map(frozenset, own)), 2, p)))))
+    return spark.createDataFrame(rows, "r long, exact double, best double, total double")

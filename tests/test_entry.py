@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from semilog.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = sorted(set(ORACLES) & {"join_three", "underscore_join", "neg_two_layers", "neg_nullary", "union_rules", "agg_count_bindings", "agg_global_empty", "tc_bool", "mutual_even_odd", "trop_apsp", "tc_magic", "prob_noisy_or", "prob_negation", "grad_worlds", "soft_table", "prob_bound", "prov_negation", "provk_lower_bound", "terms_decompose", "asp_cardinality", "k4", "contract_count", "dred_delete", "incprov_insert", "intern_dense", "mnist_sum_conv"})
+SOME = sorted(set(ORACLES) & {"join_three", "underscore_join", "neg_two_layers", "neg_nullary", "union_rules", "agg_count_bindings", "agg_global_empty", "tc_bool", "mutual_even_odd", "trop_apsp", "tc_magic", "prob_noisy_or", "prob_negation", "grad_worlds", "soft_table", "prob_bound", "prov_negation", "provk_lower_bound", "terms_decompose", "asp_cardinality", "k4", "contract_count", "dred_delete", "incprov_insert", "intern_dense", "mnist_sum_conv", "incprov_regions", "source_files", "source_weights", "source_neural", "sink_relations", "neg_anti_rows", "neg_nullary_held", "asp_founded", "asp_filter", "terms_interned", "terms_maximal", "circuits_regions"})
 
 
 def compare(spark, sf, name, query, sql):
