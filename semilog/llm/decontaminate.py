@@ -9,6 +9,9 @@ Jaccard similarity of their shingles, each weighted by how often it occurs.
 Only windows that share a shingle with an item of their size are fingerprinted. A window without a shared shingle
 has similarity 0, so nothing is lost, and texts without any are done after one dictionary look-up per word.
 
+A window of similarity 0.8 or more that is over ``RADIUS`` bits away is missed. Of 12,000 edited passages of 30 to 200
+words (sf0.1) with a similarity of 0.8 or more, 3 were over 19 bits away, and 74 over 15.
+
 Words are runs of word characters in lower case, so case and punctuation don't hide a passage. Items with fewer
 words than a shingle are one shingle; an item longer than a document meets the whole document.
 
@@ -36,7 +39,7 @@ from pyspark.sql import types as T
 
 from semilog.llm.common import remembered, texts_of, unused, with_arrow
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS, SEED = 5, 0.8, 15, 4, 42
+SHINGLE, SIMILARITY, RADIUS, BLOCKS, SEED = 5, 0.8, 19, 4, 42
 PART_CHARS = 8_000_000
 WORD = re.compile(r"\w+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)

@@ -91,3 +91,17 @@ def test_empty_tables(spark, texts, items):
     bench = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "item_id long, text string")
     assert d.report(documents(spark, texts), bench).collect() == []
     assert d.keep_clean(documents(spark, texts), bench).count() == len(texts)
+
+
+def test_edited_passages_stay_within_the_radius():
+    r, pairs, far = random.Random(9), 0, 0
+    while pairs < 2000:
+        words = prose(r, r.choice([30, 60, 120, 200])).split()
+        edited = list(words)
+        for _ in range(r.randint(1, max(1, len(words) // 45))):
+            edited[r.randrange(len(edited))] = "other"
+        a, b = d.shingles(words, 5), d.shingles(edited, 5)
+        if d.weighted_similarity(Counter(a), Counter(b)) >= d.SIMILARITY:
+            x, y = (int(d.fingerprints(d.bits_of(s), len(s))[0]) for s in (a, b))
+            pairs, far = pairs + 1, far + ((x ^ y).bit_count() > d.RADIUS)
+    assert far <= 2
