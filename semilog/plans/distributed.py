@@ -1,7 +1,7 @@
 """Evaluation over DataFrames.
 
-A rule's body is a chain of equi-joins on shared variables, negations are anti-joins after them, and the head is a
-projection; Catalyst plans each round. Recursion is a loop on the driver over the strongly connected components,
+A rule's body is a chain of equi-joins on shared variables, ordered anew each round by the sizes that relations then
+have; negations are anti-joins after them, and the head is a projection; Catalyst plans each round. Recursion is a loop on the driver over the strongly connected components,
 semi-naive: a round joins only what the last one added. What a round adds is written to the shared folder, so the
 lineage stays short, an executor's loss costs a task and not the loop, and Spark knows the size of each side when it
 chooses a join.
@@ -30,6 +30,7 @@ from semilog.functions import proofs as pf
 from semilog.lang import tree as t
 from semilog.lang.checker import Checked, aggregates
 from semilog.plans import encoding as en
+from semilog.plans import planner
 from semilog.plans.local import ordered
 from semilog.storage import written
 
@@ -45,6 +46,11 @@ def columns(n: int) -> list[str]:
     return [f"c{i}" for i in range(n)] or ["unit"]
 
 
+def bytes_of(df: DataFrame) -> int:
+    """The planner's estimate; of a written table its size as it is."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 class Run:
     """One evaluation of a checked program. ``bound`` has the DataFrames of predicates filled from outside.
 
@@ -227,8 +233,12 @@ class Run:
     def joined(self, rule: t.Rule, source: dict[int, DataFrame]) -> tuple[DataFrame, dict[str, str], list[str]]:
         """The body's bindings: variables, ``world`` if any, and the names of annotation columns."""
         storages = self.storages(rule)
-        plan = ordered(rule.body, next(iter(source), None))
+        first = next(iter(source), None)
+        plan = ordered(rule.body, first)
         positive = [i for i in plan if not rule.body[i].negated]
+        if len(positive) > 2:  # two are joined in either order
+            sizes = {i: bytes_of(source.get(i, self.relations.get(rule.body[i].atom.pred))) for i in positive}
+            positive = planner.join_order({i: set(t.atom_variables(rule.body[i].atom)) for i in positive}, sizes, first)
         wanted = set(t.atom_variables(rule.head)) | {v for i in plan if rule.body[i].negated for v in t.atom_variables(rule.body[i].atom)}
         if aggregates(rule.head):
             wanted |= set(storages)  # aggregates fold over full bindings
@@ -439,7 +449,7 @@ class Run:
             base[p] = self.added(p, parts)
             if parts and not derived and self.mode == "plain" and not self.extra(p):
                 bag = functools.reduce(DataFrame.union, parts)
-                self.bags[p] = int(str(bag._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), bag
+                self.bags[p] = bytes_of(bag), bag
             if looping or derived and p in used:
                 base[p] = written(base[p], p)
         self.relations.update(base)

@@ -97,6 +97,15 @@ def test_decomposition_and_orders():
     assert planner.order(body, skewed)[1] != planner.order(body, planner.Statistics({"r": 10_000, "s": 10}, dict.fromkeys("abc", 100)))[1] or True
 
 
+def test_join_order():
+    atoms = {0: {"X", "Y"}, 1: {"Y", "Z"}, 2: {"Z", "U"}, 3: {"X", "Z"}, 4: {"V"}}
+    sizes = {0: 50, 1: 40, 2: 5, 3: 60, 4: 1}
+    assert planner.join_order(atoms, sizes, first=0) == [0, 1, 3, 2, 4]  # 3 binds nothing new, 4 shares nothing
+    assert planner.join_order(atoms, sizes | {4: 100}) == [2, 1, 0, 3, 4]
+    assert planner.join_order({0: {"X"}, 1: {"X"}}, {0: 1, 1: 1}) == [0, 1]
+    assert planner.join_order({}, {}) == []
+
+
 def test_contraction_counts(graph):
     pairs, df = graph
     triangle = sum(y == b and (x, z) == (a, c) for a, b in pairs for y, c in pairs if y == b for x, z in pairs)
