@@ -5,11 +5,14 @@ A query is a list of atoms ``(relation, variables)``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semilog.storage import written
+
 QueryAtom = tuple[str, tuple[str, ...]]
 
 #: Sizes that are taken for relations and domains without statistics.
@@ -158,14 +161,36 @@ def plan(query: list[QueryAtom], stats: Statistics | None = None) -> Plan:
     return Plan(decompose(query), way, cost, contraction(query).width)
 
 
+def measured(factor: DataFrame, times: str) -> tuple[int, dict[str, int]]:
+    """A factor's rows, and about how many values each of its variables has."""
+    own = [c for c in factor.columns if c != times]
+    found = factor.agg(F.count(F.lit(1)), *(F.approx_count_distinct(F.col(f"`{c}`")) for c in own)).first()
+    return found[0], {c: max(1, n) for c, n in zip(own, found[1:])}
+
+
+def joined_size(a: tuple[int, dict[str, int]], b: tuple[int, dict[str, int]]) -> tuple[int, dict[str, int]]:
+    """About how many rows and values the join of two measured factors has, if keys meet evenly."""
+    rows, shared = a[0] * b[0], a[1].keys() & b[1].keys()
+    distinct = lambda x: min(max(1, x[0]), math.prod(x[1][c] for c in shared))
+    rows //= max(distinct(a), distinct(b))
+    values = {**a[1], **b[1]} | {c: min(a[1][c], b[1][c]) for c in shared}
+    return rows, {c: max(1, min(n, rows)) for c, n in values.items()}
+
+
 def contract_count(query: list[QueryAtom], relations: dict[str, DataFrame]) -> DataFrame:
     """One row ``n``: the size of the query's join with all repeats, without making the join.
 
     Variables are eliminated one by one: the factors that have it are joined, multiplicities multiplied, and summed
-    over it before the next step.
+    over it before the next step. The next variable is the one whose join has the fewest rows by the factors' measured
+    sizes, as a variable with few values would pair almost everything (ties as in ``contraction``).
     """
     times = "#times"  # no variable's name
-    factors: list[DataFrame] = []
+    factors: list[tuple[DataFrame, tuple[int, dict[str, int]]]] = []
+
+    def keep(df: DataFrame) -> None:
+        df = written(df, "factor")
+        factors.append((df, measured(df, times)))
+
     for name, vs in query:
         df = relations[name]
         cols = {}
@@ -173,18 +198,35 @@ def contract_count(query: list[QueryAtom], relations: dict[str, DataFrame]) -> D
             if v in cols:
                 df = df.where(F.col(cols[v]) == F.col(c))
             cols.setdefault(v, c)
-        factors.append(df.select(*(F.col(c).alias(v) for v, c in cols.items())).groupBy(*cols).agg(F.count(F.lit(1)).alias(times)))
+        keep(df.select(*(F.col(c).alias(v) for v, c in cols.items())).groupBy(*cols).agg(F.count(F.lit(1)).alias(times)))
     multiplied = lambda a, b, keys: (a.withColumnRenamed(times, "#left").join(b, keys) if keys else a.withColumnRenamed(times, "#left").crossJoin(b)).withColumn(times, F.col("#left") * F.col(times)).drop("#left")
-    for v in contraction(query).order:
-        own = [f for f in factors if v in f.columns]
-        factors = [f for f in factors if v not in f.columns]
+
+    def chain(v: str) -> tuple[int, list[int]]:
+        """The most rows that a step of the variable's join has, and the order of its factors: smallest joins first."""
+        left = {i: size for i, (_, size) in enumerate(factors) if v in size[1]}
+        first = min(left, key=lambda i: (left[i][0], i))
+        way, now, most = [first], left.pop(first), 0
+        while left:
+            i = min(left, key=lambda j: (joined_size(now, left[j])[0], j))
+            now = joined_size(now, left.pop(i))
+            way.append(i)
+            most = max(most, now[0])
+        return most, way
+
+    todo = contraction(query).order
+    while todo:
+        ways = {v: chain(v) for v in todo}
+        v = min(todo, key=lambda x: (ways[x][0], todo.index(x)))
+        todo.remove(v)
+        own = [factors[i][0] for i in ways[v][1]]
+        factors = [f for i, f in enumerate(factors) if i not in ways[v][1]]
         joined = own[0]
         for f in own[1:]:
             joined = multiplied(joined, f, [c for c in f.columns if c in joined.columns and c != times])
         rest = [c for c in joined.columns if c not in (times, v)]
         total = F.coalesce(F.sum(times), F.lit(0)).cast("bigint").alias(times)
-        factors.append(joined.groupBy(*rest).agg(total) if rest else joined.agg(total))
-    out = factors[0]
-    for f in factors[1:]:  # one row each by now
+        keep(joined.groupBy(*rest).agg(total) if rest else joined.agg(total))
+    out = factors[0][0]
+    for f, _ in factors[1:]:  # one row each by now
         out = multiplied(out, f, [])
     return out.select(F.col(times).alias("n"))

@@ -189,3 +189,23 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("u long, v long, kind string").parquet(str(tmp_path / "in"))
     follow(kept, "e", stream, str(tmp_path / "mark"), "kind").awaitTermination()
     assert sorted(map(tuple, kept.relations["p"].collect())) == [(1, 2), (7, 8)]
+
+
+def test_contract_count_joins_no_pairs_by_a_variable_with_few_values(spark):
+    """Customers and suppliers meet in a nation; over it, 3,000 orders x 300 suppliers would pair."""
+    n, m = 3000, 300
+    rel = {
+        "l": spark.range(n * 2).selectExpr("id div 2 as o", "(id * 7) % 300 as s"),
+        "o": spark.range(n).selectExpr("id as o", "id % 1000 as c"),
+        "c": spark.range(1000).selectExpr("id as c", "id % 3 as n"),
+        "s": spark.range(m).selectExpr("id as s", "id % 3 as n"),
+    }
+    want = sum((i * 7) % 300 % 3 == (i // 2) % 1000 % 3 for i in range(n * 2))
+    sizes = []
+    real = planner.written
+    planner.written = lambda df, name: (kept := real(df, name), sizes.append(kept.count()))[0]
+    try:
+        found = planner.contract_count([("l", ("o", "s")), ("o", ("o", "c")), ("c", ("c", "n")), ("s", ("s", "n"))], rel).first()[0]
+    finally:
+        planner.written = real
+    assert found == want and max(sizes) <= n * 2
