@@ -217,3 +217,16 @@ def test_long_bodies_in_any_order(spark, monkeypatch):
     agree(spark, source)
     assert {f for f, _ in seen} == {None, 0, 3}  # the delta comes first, at each of its places
     assert all(f is None or o[0] == f for f, o in seen)
+
+
+@pytest.mark.parametrize("second", [False, True])
+def test_pairs_that_meet_in_few_keys_are_made_in_many_tasks_without_a_pass_for_repeats(spark, second):
+    """With one nation each, no pair comes twice; a customer of two nations brings repeats, which go."""
+    cust = [(i, i % 2) for i in range(40)] + ([(0, 1)] if second else []) + [(3, 1)]
+    supp = [(i, i % 3) for i in range(30)] + ([(0, 1)] if second else [])
+    p = api.compile("pred c(int, int): Bool. pred s(int, int): Bool. pred q(int, int): Bool. q(C, S) :- c(C, N), s(S, N).")
+    p.bind("c", spark.createDataFrame(cust, "a long, b long")).bind("s", spark.createDataFrame(supp, "a long, b long"))
+    found = p.frames(spark)["q"]
+    assert sorted(map(tuple, found.collect())) == sorted({(a, b) for a, m in cust for b, n in supp if m == n})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan and plan.startswith("Aggregate") == second
