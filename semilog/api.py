@@ -198,6 +198,8 @@ class Program:
     def marginal_frame(self, spark: SparkSession, pred: str) -> DataFrame:
         """Tuples with ``p``, by capture for predicates with provenance and over all worlds otherwise."""
         mode = "proofs" if self.soft_bound or pred in self.checked.modes or len(self.checked.soft) > distributed.MAX_SOFT else "worlds"
+        if mode == "worlds" and (found := distributed.lifted_marginals(spark, self.checked, pred, self.bound)) is not None:
+            return found
         return distributed.marginals(self.run(spark, mode), pred)
 
 

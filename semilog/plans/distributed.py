@@ -691,6 +691,50 @@ def marginals(run: Run, pred: str) -> DataFrame:
     return relation.groupBy(*keys).agg(F.collect_list("pf").alias("pf")).select(*keys, count("pf").alias("p"))
 
 
+def lifted_marginals(spark: SparkSession, checked: Checked, pred: str, bound: dict[str, DataFrame]) -> DataFrame | None:
+    """Marginals of a predicate whose tuples each hang on one binding of the soft atoms' variables; else None.
+
+    The soft part of the body is solved in worlds on its own variables, and the certain part is joined with the
+    probabilities; so no row of the result is made once for each world.
+    """
+    own = [r for r in checked.rules if r.head.pred == pred]
+    used = any(b.atom.pred == pred for r in checked.rules for b in r.body)
+    given = pred in bound or any(f[0] == pred for f in checked.facts) or any(x.pred == pred for x in checked.soft)
+    if len(own) != 1 or used or given or checked.kind(pred) != "bool":
+        return None
+    (rule,) = own
+    run = Run(spark, checked, "worlds", bound)
+    flat = all(not b.negated for b in rule.body) and all(not isinstance(a, t.Compound | t.Agg) for x in (rule.head, *(b.atom for b in rule.body)) for a in x.args)
+    soft = [b for b in rule.body if b.atom.pred in run.soft_preds]
+    hard = [b for b in rule.body if b.atom.pred not in run.soft_preds]
+    if not flat or not soft or not hard or any(en.TAG in run.kinds[b.atom.pred] for b in rule.body):
+        return None
+    certain = {v for b in hard for v in t.atom_variables(b.atom)}
+    shared = sorted({v for b in soft for v in t.atom_variables(b.atom)} & (certain | set(t.atom_variables(rule.head))))
+    chances, result, p = "#chances", "#result", t.Var("#p")
+    decl = lambda name, n: t.Predicate(name, (("int",),) * n, t.Annotation("bool"))
+    args = tuple(map(t.Var, shared))
+    part = Checked({**{k: d for k, d in checked.decls.items() if k != pred}, chances: decl(chances, len(args))}, [r for r in checked.rules if r is not rule] + [t.Rule(t.Atom(chances, args), tuple(soft))], checked.facts, checked.soft, [], [], [[chances if k == pred else k for k in layer] for layer in checked.layers], checked.recursive, checked.terms)
+    run = Run(spark, part, "worlds", bound)
+    run.go()
+    found = marginals(run, chances)
+    tables = {b.atom.pred: run.relations[b.atom.pred].select(*columns(run.arity[b.atom.pred])) for b in hard if run.arity[b.atom.pred]}
+    tables[chances] = written(found.select(*(columns(len(args)) if args else []), F.col("p").cast("string").alias("p")), "chances")
+    head = t.Atom(result, (*rule.head.args, *args, p))
+    joint = t.Rule(head, (*(b for b in hard if run.arity[b.atom.pred]), t.Literal(t.Atom(chances, (*args, p)))))
+    if any(not run.arity[b.atom.pred] for b in hard):
+        return None
+    decls = {**{k: checked.decls[k] for k in tables if k != chances}, chances: decl(chances, len(args) + 1), result: decl(result, len(head.args))}
+    last = Run(spark, Checked(decls, [joint], [], [], [], [], [*([k] for k in tables), [result]], set(), False), bound=tables)
+    for k in tables:
+        last.layer([k])
+    if not set(shared) <= last.determined(set(t.atom_variables(rule.head)), t.Rule(rule.head, tuple(hard))):
+        return None
+    last.layer([result])
+    n = len(rule.head.args)
+    return last.relations[result].select(*(F.col(f"c{i}") for i in range(n)), F.col(f"c{n + len(args)}").cast("double").alias("p"))
+
+
 def counted(run: Run, relation: DataFrame, keys: list[str]) -> DataFrame:
     """Tuples with ``p``, where leaves' probabilities are a table: each tuple gets those of its own proofs."""
     used = relation.select(*keys, F.explode("pf").alias("x")).select(*keys, F.abs("x").alias("leaf")).distinct().join(run.leaves, "leaf")

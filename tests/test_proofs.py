@@ -9,7 +9,7 @@ from semilog.functions import proofs as pf
 from semilog.lang.checker import check
 from semilog.lang.reader import read
 from semilog.operators import neural
-from semilog.plans import local, worlds
+from semilog.plans import distributed, local, worlds
 from semilog.streaming.proofs import MaintainedProofs
 
 
@@ -186,3 +186,20 @@ def test_patterns_are_checked():
     with pytest.raises(ValueError):
         p.prob_query("path", ("a",))
     assert check(read(GRAPH.format("Bool"))[0]).modes == {}
+
+
+@pytest.mark.parametrize("second, lifted", [(False, True), (True, False)])
+def test_marginals_of_pairs_hang_on_their_nation_alone(spark, second, lifted):
+    """Each pair has one nation, whose probability it gets without worlds; a customer of two nations goes by worlds."""
+    cust = [(i, i % 4) for i in range(20)] + ([(1, 2)] if second else [])
+    supp = [(i, i % 4) for i in range(12)] + ([(1, 2)] if second else [])
+    p = api.compile("pred c(int, int): Bool. pred s(int, int): Bool. pred r(int): Bool. pred q(int, int): Bool. 0.25 :: r(1). 0.5 :: r(2). 0.5 :: r(2). q(C, S) :- c(C, N), s(S, N), r(N).")
+    p.bind("c", spark.createDataFrame(cust, "a long, b long")).bind("s", spark.createDataFrame(supp, "a long, b long"))
+    chance, want = {1: 0.25, 2: 0.75}, {}
+    for a, m in cust:
+        for b, n in supp:
+            if m == n and n in chance:
+                want[a, b] = 1 - (1 - want.get((a, b), 0)) * (1 - chance[n])
+    found = p.marginal_frame(spark, "q")
+    assert {(r.c0, r.c1): round(r.p, 9) for r in found.collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert (distributed.lifted_marginals(spark, p.checked, "q", p.bound) is not None) == lifted
