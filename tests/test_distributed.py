@@ -230,3 +230,22 @@ def test_pairs_that_meet_in_few_keys_are_made_in_many_tasks_without_a_pass_for_r
     assert sorted(map(tuple, found.collect())) == sorted({(a, b) for a, m in cust for b, n in supp if m == n})
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "_part" in plan and plan.startswith("Aggregate") == second
+
+
+SAME = "pred e(int, int): Bool. pred q(int, int): Bool. q(X, Y) :- e(P, X), e(P, Y). q(X, Y) :- e(A, X), q(A, B), e(B, Y)."
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_same_generation_by_classes(spark, seed):
+    """A tree, a cycle, and graphs with several parents; joins see classes, not all pairs."""
+    rng = random.Random(seed)
+    edges = [[(i // 2, i) for i in range(2, 32)], [(0, 1), (1, 2), (2, 0), (2, 3), (1, 3), (5, 5), (5, 6)]]
+    edges = (edges + [[(rng.randrange(14), rng.randrange(14)) for _ in range(n)] for n in (18, 30)])[seed]
+    want = {(x, y) for p, x in edges for r, y in edges if p == r}
+    while more := {(x, y) for a, x in edges for b, y in edges if (a, b) in want} - want:
+        want |= more
+    p = api.compile(SAME).bind("e", spark.createDataFrame(edges, "a long, b long"))
+    run = p.run(spark)
+    assert run.generation_of(["q"], [r for r in run.checked.rules]) == "e"
+    found = list(map(tuple, run.relations["q"].collect()))
+    assert len(found) == len(want) and set(found) == want
