@@ -209,3 +209,18 @@ def test_contract_count_joins_no_pairs_by_a_variable_with_few_values(spark):
     finally:
         planner.written = real
     assert found == want and max(sizes) <= n * 2
+
+
+def test_patterns_stay_exact_with_a_full_sieve_and_small_chunks(spark, monkeypatch):
+    """Pairs of neighbours meet edges through a sieve; one that lets most of them pass changes no count."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(24), rng.randrange(24)) for _ in range(260)]
+    monkeypatch.setattr(graphs, "SIEVE_BITS", 6)
+    monkeypatch.setattr(graphs, "CHUNK", 7)
+    have = set(pairs)
+    want = sum((a, d) in have for a, b in pairs for c, d in pairs if b == c)
+    joined = lambda s: all((a, b) in have or (b, a) in have for a, b in itertools.combinations(s, 2))
+    df = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "u string, v string")
+    assert graphs.directed_triangles(df).first()[0] == graphs.hcube_triangles(df, 3).first()[0] == want
+    assert graphs.count_triangles(df).first()[0] == sum(map(joined, itertools.combinations(range(24), 3)))
+    assert graphs.count_4cliques(df).first()[0] == sum(map(joined, itertools.combinations(range(24), 4)))
