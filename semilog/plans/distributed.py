@@ -490,7 +490,10 @@ class Run:
         looping = [r for r in own if any(b.atom.pred in layer for b in r.body)]
         used = {b.atom.pred for r in self.checked.rules for b in r.body}
         if (edge := self.closure_of(layer, own)) is not None and self.mode == "plain":
-            self.relations[layer[0]] = closure(self.relations[edge], layer[0])
+            if self.extra(edge):
+                self.relations[layer[0]] = cheapest(self.relations[edge], layer[0], lambda: self.universe() + 2)
+            else:
+                self.relations[layer[0]] = closure(self.relations[edge], layer[0])
             return
         if (edge := self.generation_of(layer, own)) is not None:
             found = same_generation(self, edge, layer[0], own)
@@ -517,8 +520,8 @@ class Run:
         self.semi_naive(layer, looping, base)
 
     def closure_of(self, layer: list[str], rules: list[t.Rule]) -> str | None:
-        """The edge relation, if the layer is the plain transitive closure of one."""
-        if len(layer) != 1 or len(rules) != 2 or self.arity[layer[0]] != 2 or self.extra(layer[0]) or self.given(layer[0]):
+        """The edge relation, if the layer is the plain transitive closure of one, or its cheapest paths."""
+        if self.mode != "plain" or len(layer) != 1 or len(rules) != 2 or self.arity[layer[0]] != 2 or self.given(layer[0]):
             return None
         p = layer[0]
         shapes = {(r.head.args, tuple((b.atom.pred == p, b.atom.args, b.negated) for b in r.body)): r for r in rules}
@@ -529,7 +532,7 @@ class Run:
         var = lambda *names: tuple(map(t.Var, names))
         x, y = (a.name if isinstance(a, t.Var) else None for a in base.head.args)
         edge = base.body[0]
-        if None in (x, y) or x == y or edge.negated or edge.atom.pred == p or edge.atom.args != var(x, y) or self.extra(edge.atom.pred):
+        if None in (x, y) or x == y or edge.negated or edge.atom.pred == p or edge.atom.args != var(x, y) or self.extra(edge.atom.pred) != self.extra(p):
             return None
         a, b = step.body
         if a.negated or b.negated or {a.atom.pred, b.atom.pred} not in ({p, edge.atom.pred}, {p}):
@@ -647,6 +650,43 @@ def told(e: PySparkException) -> Exception:
     return e
 
 
+def cheapest(edges: DataFrame, name: str, cap: Callable[[], int]) -> DataFrame:
+    """Least weights of paths, in as many rounds as the most steps of a cheapest path have doublings.
+
+    ``found`` has for each pair the least weight of up to ``m`` steps and the fewest steps that reach it; ``far`` are
+    those of exactly ``m``. The first m steps of a cheapest path of m + 1 to 2 m steps are in ``far`` (a cheaper or
+    shorter way there would make the path cheaper or shorter), the rest in ``found``; so each round is one join, and
+    one in which no weight falls is the last. Null is infinity.
+    """
+    a, b, w = edges.columns[:3]
+    worth = lambda c, d: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("w"), F.col(d).alias("d"))
+    best = lambda df: df.groupBy("c0", "c1").agg(F.min(worth("w", "d")).alias("x")).select("c0", "c1", F.col("x")["w"].alias("w"), F.col("x")["d"].alias("d"))
+    found = written(best(edges.select(F.col(a).alias("c0"), F.col(b).alias("c1"), F.col(w).alias("w"), F.lit(1).cast("bigint").alias("d"))), name)
+    parts, far, m, most, lowered = [found], found, 1, None, False
+    while True:
+        every = functools.reduce(DataFrame.union, parts)
+        if lowered:
+            every = written(best(every), name)
+            parts, lowered = [every], False
+        start = far.select("c0", F.col("c1").alias("mid"), F.col("w").alias("w1"))
+        steps = best(start.join(every.select(F.col("c0").alias("mid"), "c1", F.col("w").alias("w2"), "d"), "mid").select("c0", "c1", (F.col("w1") + F.col("w2")).alias("w"), (F.col("d") + m).alias("d")))
+        old = every.select(F.col("c0").alias("o0"), F.col("c1").alias("o1"), F.col("w").alias("ow"), F.lit(True).alias("had"))
+        told = steps.join(old, (F.col("c0") == F.col("o0")) & (F.col("c1") == F.col("o1")), "left")
+        new = written(told.where("had is null or (w is not null and (ow is null or w < ow))").select("c0", "c1", "w", "d", F.coalesce("had", F.lit(False)).alias("had")), name)
+        count, fell = new.agg(F.count(F.lit(1)), F.coalesce(F.bool_or("had"), F.lit(False))).first()
+        if not count:
+            return every.select("c0", "c1", "w")
+        m, lowered = m * 2, fell
+        if m > COUNT_AFTER:
+            most = most or cap()
+            if m > 2 * most:
+                raise NegativeWeightCycle("weights still fall after more steps than there are values")
+        parts.append(new.select("c0", "c1", "w", "d"))
+        if len(parts) > COMPACT and not lowered:
+            parts = [written(functools.reduce(DataFrame.union, parts), name)]
+        far = new.where(F.col("d") == m).select("c0", "c1", "w", "d")
+
+
 def same_generation(run: Run, edge: str, name: str, rules: list[t.Rule]) -> DataFrame:
     """The same-generation relation over classes of nodes: pairs of classes, with their members put in at the end.
 

@@ -249,3 +249,27 @@ def test_same_generation_by_classes(spark, seed):
     assert run.generation_of(["q"], [r for r in run.checked.rules]) == "e"
     found = list(map(tuple, run.relations["q"].collect()))
     assert len(found) == len(want) and set(found) == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cheapest_paths_double_their_reach(spark, seed, monkeypatch):
+    """Longer ways may be cheaper, weights may fall below 0 or be infinite; rounds are doublings, not steps."""
+    rng = random.Random(seed)
+    edges = [(i, i + 1, -1) for i in range(20)] + [(rng.randrange(12), rng.randrange(12, 21), rng.choice([0, 3, 9, None])) for _ in range(12)]
+    inf, best = float("inf"), {}
+    for a, b, w in edges:
+        best[a, b] = min(best.get((a, b), inf), inf if w is None else w)
+    one = dict(best)
+    for _ in range(22):
+        for (a, b), w in list(best.items()):
+            for (c, d), x in one.items():
+                if b == c and (d is not None) and w + x < best.get((a, d), inf) or b == c and (a, d) not in best:
+                    best[a, d] = w + x
+    tables = []
+    real = distributed.written
+    monkeypatch.setattr(distributed, "written", lambda df, name: (tables.append(name), real(df, name))[1])
+    p = api.compile("pred e(int, int): Trop. pred q(int, int): Trop. q(X, Y) :- e(X, Y). q(X, Z) :- q(X, Y), e(Y, Z).")
+    p.bind("e", spark.createDataFrame(edges, "a long, b long, w long"))
+    got = {(r.c0, r.c1): inf if r.w is None else r.w for r in p.frames(spark)["q"].collect()}
+    assert got == best
+    assert tables.count("q") <= 15
