@@ -20,19 +20,25 @@ COMPACT = 8
 def least_model(rules: DataFrame) -> DataFrame:
     """The least set closed under the rules, negations passed over.
 
-    A round counts, for each rule, which of its atoms became true; a rule whose count is full gives its head. Each pair
-    of rule and atom is joined once, when the atom is new.
+    A round counts, for each rule of several atoms, which of them became true; a rule whose count is full gives its
+    head. Each pair of rule and atom is joined once, when the atom is new.
     """
     heads = rules.where(F.col("head").isNotNull()).select("rule", "head", F.array_distinct("pos").alias("pos"))
-    needs = written(heads.select("rule", F.explode("pos").alias("atom")), "needs")
-    sizes = written(heads.select("rule", "head", F.size("pos").cast("bigint").alias("n")), "sizes")
-    new = written(sizes.where("n = 0").select(F.col("head").alias("atom")).distinct(), "model")
+    # A rule of one atom needs no count: the atom leads to the head.
+    leads = written(heads.where(F.size("pos") == 1).select(F.get("pos", F.lit(0)).alias("atom"), F.col("head").alias("next")).distinct(), "leads")
+    several = heads.where(F.size("pos") > 1)
+    needs = written(several.select("rule", F.explode("pos").alias("atom")), "needs")
+    sizes = written(several.select("rule", "head", F.size("pos").cast("bigint").alias("n")), "sizes")
+    counts = not needs.isEmpty()
+    new = written(heads.where(F.size("pos") == 0).select(F.col("head").alias("atom")).distinct(), "model")
     parts, met = [new], None
     while not new.isEmpty():
-        hits = needs.join(new, "atom").select("rule", F.lit(1).cast("bigint").alias("n"))
-        met = written((hits if met is None else met.union(hits)).groupBy("rule").agg(F.sum("n").alias("n")), "met")
-        found = sizes.join(met, ["rule", "n"]).select(F.col("head").alias("atom")).distinct()
-        new = written(found.join(functools.reduce(DataFrame.union, parts), "atom", "left_anti"), "model")
+        found = leads.join(new, "atom", "left_semi").select(F.col("next").alias("atom"))
+        if counts:
+            hits = needs.join(new, "atom").select("rule", F.lit(1).cast("bigint").alias("n"))
+            met = written((hits if met is None else met.union(hits)).groupBy("rule").agg(F.sum("n").alias("n")), "met")
+            found = found.union(sizes.join(met, ["rule", "n"]).select(F.col("head").alias("atom")))
+        new = written(found.distinct().join(functools.reduce(DataFrame.union, parts), "atom", "left_anti"), "model")
         parts.append(new)
         if len(parts) > COMPACT:
             parts = [written(functools.reduce(DataFrame.union, parts), "model")]

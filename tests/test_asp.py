@@ -122,3 +122,15 @@ def test_frames_agree_with_lists(spark):
         for i, x in enumerate(rules):
             dead = any(a not in can for a in x.pos) or any(a in sure for a in x.neg)
             assert told[i] == (dead, [] if dead else sorted(a for a in x.pos if a not in sure), [] if dead else sorted(a for a in x.neg if a in can))
+
+
+def test_rules_of_one_atom_lead_to_their_heads_without_counts(spark, monkeypatch):
+    """A chain, a rule of two atoms at its end, and a circle that nothing reaches; counts are kept for rules of several."""
+    names, real = [], frames.written
+    monkeypatch.setattr(frames, "written", lambda df, name: (names.append(name), real(df, name))[1])
+    rows = [(0, 0, [], [])] + [(i, i, [i - 1], []) for i in range(1, 6)] + [(90, 90, [91, 91], []), (91, 91, [90], [])]
+    schema = "rule long, head long, pos array<long>, neg array<long>"
+    assert {r.atom for r in frames.least_model(spark.createDataFrame(rows, schema)).collect()} == set(range(6))
+    assert "met" not in names
+    more = [*rows, (7, 7, [5, 2], []), (8, 8, [7, 90], [])]
+    assert {r.atom for r in frames.least_model(spark.createDataFrame(more, schema)).collect()} == {*range(6), 7}
